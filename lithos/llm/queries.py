@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithos.llm import chat, sharding, warc
+from lithos.llm import chat, pieces, sharding, warc
 from lithos.llm.common import shared_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,18 @@ def op6_best_fit_decreasing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def piece_model() -> bytes:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        return f.read()
+
+
+def op7_piece_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pieces.encode_documents(table(spark, sf_dir, "documents"), piece_model(), digests=True)
+    return done.withColumnsRenamed({"ids": "ids_sha256", "decoded": "decoded_sha256"})
+
+
 def op9_warc_content_addressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "warc")
     warc.write_archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
@@ -45,6 +57,7 @@ def queries() -> dict[str, Query]:
     return {
         "op2_chat_prefix_targets": op2_chat_prefix_targets,
         "op6_best_fit_decreasing": op6_best_fit_decreasing,
+        "op7_piece_encode_decode": op7_piece_encode_decode,
         "op9_warc_content_addressed": op9_warc_content_addressed,
     }
 

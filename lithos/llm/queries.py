@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithos.llm import chat, pieces, sharding, warc
+from lithos.llm import chat, pieces, quality, sharding, warc
 from lithos.llm.common import shared_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,10 @@ def op7_piece_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.withColumnsRenamed({"ids": "ids_sha256", "decoded": "decoded_sha256"})
 
 
+def op8_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rate_documents(table(spark, sf_dir, "documents")).drop("worst")
+
+
 def op9_warc_content_addressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "warc")
     warc.write_archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
@@ -58,6 +62,7 @@ def queries() -> dict[str, Query]:
         "op2_chat_prefix_targets": op2_chat_prefix_targets,
         "op6_best_fit_decreasing": op6_best_fit_decreasing,
         "op7_piece_encode_decode": op7_piece_encode_decode,
+        "op8_repetition_coverage": op8_repetition_coverage,
         "op9_warc_content_addressed": op9_warc_content_addressed,
     }
 

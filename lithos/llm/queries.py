@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithos.llm import chat, pieces, quality, sharding, warc
+from lithos.llm import chat, pieces, quality, secret_scan, sharding, toxicity, warc
 from lithos.llm.common import shared_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,23 @@ def op2_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(documents, table(spark, sf_dir, "labels"))
+    scored = toxicity.score_documents(documents, model)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op5_secret_grammars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scanner = secret_scan.Scanner(secret_scan.automata(), secret_scan.letter_pairs(documents))
+    found = secret_scan.scan_documents(documents, scanner)
+    number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["kind"] != "format")
+    return found.select("doc_id", number("assign"), number("access"), number("hex"), number("format"), F.sha2(F.encode(said(base), "UTF-8"), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+
+
 def op6_best_fit_decreasing(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(table(spark, sf_dir, "documents"), 40)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -60,6 +77,8 @@ def op9_warc_content_addressed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op2_chat_prefix_targets": op2_chat_prefix_targets,
+        "op4_toxicity_grammar": op4_toxicity_grammar,
+        "op5_secret_grammars": op5_secret_grammars,
         "op6_best_fit_decreasing": op6_best_fit_decreasing,
         "op7_piece_encode_decode": op7_piece_encode_decode,
         "op8_repetition_coverage": op8_repetition_coverage,

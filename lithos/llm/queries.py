@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithos.llm import chat, pieces, quality, secret_scan, sharding, toxicity, warc
+from lithos.llm import chat, decontamination, licenses, near_dup, pieces, quality, secret_scan, sharding, toxicity, warc
 from lithos.llm.common import shared_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 CONVERSATION_7 = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
 
+def op1_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.notices(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     turns = turns.unionByName(spark.createDataFrame(CONVERSATION_7, "conv_id long, turn long, role string, text string"))
@@ -30,6 +34,10 @@ def op2_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id")
+
+
 def op4_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(documents, table(spark, sf_dir, "labels"))
@@ -74,15 +82,23 @@ def op9_warc_content_addressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
 
 
+def op10_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.leaks(documents, table(spark, sf_dir, "benchmark")).drop("node")
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op1_license_dice": op1_license_dice,
         "op2_chat_prefix_targets": op2_chat_prefix_targets,
+        "op3_dart_minhash": op3_dart_minhash,
         "op4_toxicity_grammar": op4_toxicity_grammar,
         "op5_secret_grammars": op5_secret_grammars,
         "op6_best_fit_decreasing": op6_best_fit_decreasing,
         "op7_piece_encode_decode": op7_piece_encode_decode,
         "op8_repetition_coverage": op8_repetition_coverage,
         "op9_warc_content_addressed": op9_warc_content_addressed,
+        "op10_simhash_decontamination": op10_simhash_decontamination,
     }
 
 
@@ -125,4 +141,4 @@ FROM f
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_prefix_targets": OP2_SQL, "op9_warc_content_addressed": OP9_SQL}
+    return {"op1_license_dice": licenses.oracle(), "op2_chat_prefix_targets": OP2_SQL, "op9_warc_content_addressed": OP9_SQL}

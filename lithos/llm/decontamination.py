@@ -72,9 +72,10 @@ def leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     """doc_id, node (key of the text), item_id, start (word), similarity: for each text and item
     the most similar window that reaches the threshold, the first of equals."""
     items = items_of(benchmark)
-    anchors = items.select("n", F.posexplode("item_shingles").alias("offset", "shingle")).distinct()
+    anchors = items.select("n", F.posexplode_outer("item_shingles").alias("offset", "shingle")).distinct()
     texts = documents.select("doc_id", node(F.col("text")).alias("node"), word_hashes(F.col("text")).alias("hashes"))
-    runs = texts.withColumn("runs", shingles("hashes")).select("doc_id", "node", "hashes", "runs", F.posexplode("runs").alias("at", "shingle"))
+    # The outer form: for the inner one Spark tests the array's size first, in a filter that computes the hashes anew for each shingle.
+    runs = texts.withColumn("runs", shingles("hashes")).select("doc_id", "node", "hashes", "runs", F.posexplode_outer("runs").alias("at", "shingle"))
     if anchors.count() <= BROADCAST:
         anchors = F.broadcast(anchors)
     start = F.greatest(F.least(F.col("at") - F.col("offset"), F.size("hashes") - F.col("n")), F.lit(0))
@@ -82,11 +83,11 @@ def leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     windows = hits.select("doc_id", "node", "n", "start", F.slice("hashes", F.col("start") + 1, F.col("n")).alias("words"), F.slice("runs", F.col("start") + 1, F.col("n") - WORDS + 1).alias("window"))
     windows = windows.groupBy("doc_id", "node", "n", "start").agg(F.first("words").alias("words"), F.first("window").alias("window"))
     windows = windows.withColumn("print", simhash(F.col("words"))).select("doc_id", "node", "n", "start", "print", "window")
-    keyed = lambda df, name: df.select("*", F.posexplode(blocks(F.col(name))).alias("block", "value"))
+    keyed = lambda df, name: df.select("*", F.posexplode_outer(blocks(F.col(name))).alias("block", "value"))
     near = keyed(windows, "print").join(keyed(items, "fingerprint"), ["n", "block", "value"])
     near = near.filter(F.bit_count(F.col("print").bitwiseXOR(F.col("fingerprint"))) <= RADIUS)
     # A pair is found by each block it agrees in; the first such block keeps it.
-    same = F.transform(F.arrays_zip(blocks(F.col("print")).alias("a"), blocks(F.col("fingerprint")).alias("b")), lambda z: z["0"] == z["1"])
+    same = F.transform(F.arrays_zip(blocks(F.col("print")).alias("a"), blocks(F.col("fingerprint")).alias("b")), lambda z: z["a"] == z["b"])
     near = near.filter(F.col("block") == F.array_position(same, True) - 1)
     a, b = weighted(F.col("window")), weighted(F.col("item_shingles"))
     scored = near.select("doc_id", "node", "item_id", "start", (F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).alias("similarity"))

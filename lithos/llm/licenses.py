@@ -63,7 +63,8 @@ def notices(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     wanted = known.select("license", F.explode("bigrams").alias("bigram")).groupBy("license", "bigram").agg(F.count("*").alias("times"))
     wanted = wanted.join(known.select("license", "size", "gap"), "license")
     texts = documents.select("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("node"), words(F.col("text")).alias("words"))
-    pairs = texts.withColumn("bigrams", bigrams("words")).select("doc_id", "node", F.posexplode("bigrams").alias("at", "bigram"))
+    # The outer form: for the inner one Spark tests the array's size first, in a filter that computes the words anew for each bigram.
+    pairs = texts.withColumn("bigrams", bigrams("words")).select("doc_id", "node", F.posexplode_outer("bigrams").alias("at", "bigram"))
     hits = pairs.join(F.broadcast(wanted), "bigram").distinct()
 
     place = Window.partitionBy("doc_id", "node", "license").orderBy("at")
@@ -93,11 +94,11 @@ tb AS (SELECT license, len(w) - 1 AS size, w[i] || ' ' || w[i + 1] AS bigram FRO
 t AS (SELECT license, bigram, any_value(size) AS size, count(*) AS times FROM tb GROUP BY ALL),
 d AS (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents),
 dw AS (SELECT doc_id, md5(text) AS node, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM d),
-p AS (SELECT doc_id, node, i - 1 AS at, w[i] || ' ' || w[i + 1] AS bigram FROM dw, unnest(range(1, len(w))) u(i)),
+p AS (SELECT doc_id, node, i - 1 AS pos, w[i] || ' ' || w[i + 1] AS bigram FROM dw, unnest(range(1, len(w))) u(i)),
 h AS (SELECT *, greatest(3, size // 5) AS gap FROM p JOIN t USING (bigram)),
-f AS (SELECT *, CASE WHEN at - lag(at) OVER q <= gap + 1 THEN 0 ELSE 1 END AS far FROM h WINDOW q AS (PARTITION BY doc_id, node, license ORDER BY at)),
-s AS (SELECT *, sum(far) OVER (PARTITION BY doc_id, node, license ORDER BY at ROWS UNBOUNDED PRECEDING) AS stretch FROM f),
-c AS (SELECT doc_id, node, license, size, stretch, bigram, least(count(*), any_value(times)) AS common, min(at) AS a, max(at) AS z FROM s GROUP BY ALL),
+f AS (SELECT *, CASE WHEN pos - lag(pos) OVER q <= gap + 1 THEN 0 ELSE 1 END AS far FROM h WINDOW q AS (PARTITION BY doc_id, node, license ORDER BY pos)),
+s AS (SELECT *, sum(far) OVER (PARTITION BY doc_id, node, license ORDER BY pos ROWS UNBOUNDED PRECEDING) AS stretch FROM f),
+c AS (SELECT doc_id, node, license, size, stretch, bigram, least(count(*), any_value(times)) AS common, min(pos) AS a, max(pos) AS z FROM s GROUP BY ALL),
 g AS (SELECT doc_id, node, license, size, stretch, sum(common) AS common, min(a) AS a, max(z) AS z FROM (SELECT * FROM c) GROUP BY doc_id, node, license, size, stretch),
 e AS (SELECT *, z - a + 1 AS length, 2 * common / (z - a + 1 + size) AS dice FROM g),
 k AS (SELECT * FROM e WHERE dice >= {THRESHOLD}),

@@ -7,9 +7,9 @@ the earliest dart of each coordinate is the signature: two texts agree in a coor
 probability of their weighted Jaccard similarity. Ranks are read in layers until every coordinate
 has a dart, so the work follows the text's length and not length times coordinates.
 
-Bands of coordinates are joined: within a bucket every text is paired with two hubs and with
-its neighbours in an order by further bands, which is linear in the bucket's size, and never all
-with all. Each pair is verified by its exact weighted Jaccard similarity, and classes are the
+Bands of coordinates are joined: within a bucket every text is paired with a hub and with its
+neighbour in an order by a further band, which is linear in the bucket's size, and never all with
+all. Each pair is verified by its exact weighted Jaccard similarity, and classes are the
 connected components of the verified links. Then, in buckets that still hold several classes, the
 texts outside the largest are tried against another member of it, in rounds (three at most, or
 until one finds no new link).
@@ -164,38 +164,31 @@ def pair(a: Column, b: Column) -> list[Column]:
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
-    """node, id, key, key2, key3 for each band of nodes (node, id, bands) whose key others share;
-    the further keys are those of the next bands."""
-    keys = nodes.filter(F.col("bands").isNotNull()).select("node", "id", "bands", F.posexplode("bands").alias("at", "key"))
-    after = lambda k: F.element_at("bands", ((F.col("at") + k) % BANDS + 1).cast("int"))
-    keys = keys.select("node", "id", "key", after(1).alias("key2"), after(2).alias("key3"))
-    hub = F.min(F.struct("id", "node"))["node"]
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n"), hub.alias("hub"), F.min(F.struct(F.xxhash64("node"), "node"))["node"].alias("hub2"))
-    return keys.join(sizes.filter("n > 1"), "key").drop("n")
+    """key, key2, node, hub for each band of nodes (node, id, bands) whose key others share; key2 is
+    that of the next band, the hub the bucket's first node by id."""
+    keys = nodes.filter(F.col("bands").isNotNull()).select("node", "id", "bands", F.posexplode_outer("bands").alias("at", "key"))
+    keys = keys.select("node", "id", "key", F.element_at("bands", ((F.col("at") + 1) % BANDS + 1).cast("int")).alias("key2"))
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "node"))["node"].alias("hub"))
+    return keys.join(sizes.filter("n > 1"), "key").select("key", "key2", "node", "hub")
 
 
 def candidates(shared: DataFrame) -> DataFrame:
-    """Pairs (u < v) of a bucket's members with its two hubs (the first by id, and one by hash) and
-    with their two neighbours."""
-    stars = shared.select("node", F.explode(F.array("hub", "hub2")).alias("other"))
-    order = shared.select("key", "key2", "key3", "node")
-    n = max(2, int(order.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    order = order.repartitionByRange(n, "key", "key2", "key3", "node").sortWithinPartitions("key", "key2", "key3", "node")
+    """Pairs (u < v) of a bucket's members with its hub and with their neighbour."""
+    n = max(2, int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    order = shared.select("key", "key2", "node").repartitionByRange(n, "key", "key2", "node").sortWithinPartitions("key", "key2", "node")
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key, last = None, []
+        last_key, last = None, None
         for batch in batches:
             us, vs = [], []
             for key, name in zip(batch["key"].to_pylist(), batch["node"].to_pylist(), strict=True):
-                if key != last_key:
-                    last_key, last = key, []
-                for other in last:
+                if key == last_key:
                     us.append(name)
-                    vs.append(other)
-                last = [*last[-1:], name]
+                    vs.append(last)
+                last_key, last = key, name
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.binary()), pa.array(vs, pa.binary())], ["node", "other"])
 
-    pairs = stars.unionByName(order.select("key", "node").mapInArrow(neighbours, "node binary, other binary"))
+    pairs = shared.select("node", F.col("hub").alias("other")).unionByName(order.select("key", "node").mapInArrow(neighbours, "node binary, other binary"))
     pairs = pairs.filter(F.col("node") != F.col("other"))
     return pairs.select(pair(F.col("node"), F.col("other"))).distinct()
 
@@ -241,18 +234,28 @@ def texts_of(documents: DataFrame, nodes: DataFrame, shared: DataFrame) -> DataF
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, label: the least node of its connected component. Labels spread to neighbours and then
-    jump to their label's label, so that long chains take few rounds; lineage is cut in each."""
-    edges = checkpointed(links.union(links.select("v", "u")).toDF("node", "other"))
-    labels = checkpointed(edges.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("label")))
+    """node, label: a node of its connected component, the same for all, by contraction: each node
+    hooks to the least of itself and its neighbours, hooks are followed to their ends (each step
+    doubles the length), and the links between the ends are the next round's. As every end is met by
+    a neighbour's hook or its own, a round leaves at most half the nodes; lineage is cut in each."""
+    labels = None
     while True:
-        near = edges.join(labels.select(F.col("node").alias("other"), F.col("label").alias("near")), "other").groupBy("node").agg(F.min("near").alias("near"))
-        spread = labels.join(near, "node").select("node", F.col("label").alias("before"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        spread = checkpointed(spread.join(jump, "label").select("node", "before", F.least("label", "further").alias("label")))
-        if spread.filter("before != label").isEmpty():
-            return spread.select("node", "label")
-        labels = spread.select("node", "label")
+        both = links.select("u", "v").union(links.select("v", "u")).toDF("node", "other")
+        roots = checkpointed(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("root")))
+        while True:
+            further = roots.select(F.col("node").alias("root"), F.col("root").alias("further"))
+            roots = checkpointed(roots.join(further, "root").select("node", F.col("further").alias("root"), (F.col("further") != F.col("root")).alias("moved")))
+            if roots.filter("moved").isEmpty():
+                break
+        roots = roots.select("node", "root")
+        if labels is None:
+            labels = roots.withColumnRenamed("root", "label")
+        else:
+            labels = checkpointed(labels.join(roots.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("root", "label").alias("label")))
+        ends = [roots.select(F.col("node").alias(e), F.col("root").alias(f"root_{e}")) for e in ("u", "v")]
+        links = checkpointed(links.join(ends[0], "u").join(ends[1], "v").select(pair(F.col("root_u"), F.col("root_v"))).filter("u != v").distinct())
+        if links.isEmpty():
+            return labels
 
 
 def classes(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -261,10 +264,11 @@ def classes(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     spark = documents.sparkSession
     signed = checkpointed(signatures(documents))
     nodes = checkpointed(signed.groupBy("node").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")))
-    shared = checkpointed(buckets(nodes))
-    path = shared_path(spark, "near-dup-texts")
-    texts_of(documents, nodes, shared).write.parquet(path)
-    texts = spark.read.parquet(path)
+    path = shared_path(spark, "near-dup")
+    buckets(nodes).write.parquet(f"{path}/buckets")
+    shared = spark.read.parquet(f"{path}/buckets")
+    texts_of(documents, nodes, shared).write.parquet(f"{path}/texts")
+    texts = spark.read.parquet(f"{path}/texts")
     tried = checkpointed(candidates(shared))
     links = checkpointed(verified(tried, texts, threshold))
     labels = components(links)

@@ -22,6 +22,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -218,8 +219,6 @@ def score_documents(documents: DataFrame, model: Model) -> DataFrame:
 
 def score_column(text: Column, model: Model) -> Column:
     """The score as a column of the frame it is used in."""
-    import pandas as pd
-
     readers: list[Reader] = []
 
     @F.pandas_udf("double")

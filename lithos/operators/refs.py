@@ -82,9 +82,9 @@ def needs_reload(on_disk: DataFrame, index: DataFrame, key: str) -> DataFrame:
     return last.withColumn("needs_reload", F.coalesce(F.col("last_on_disk") > F.col("last_indexed"), F.col("last_on_disk").isNotNull()))
 
 
-def rebuilt_index(files: DataFrame) -> DataFrame:
-    """An index from segment files (dataid, casid, content): one id for each content, the least."""
-    return files.groupBy("casid").agg(F.min("dataid").alias("dataid"))
+def rebuilt_index(files: DataFrame, key: str = "casid") -> DataFrame:
+    """An index from segment files (dataid, casid, ...): one id for each content, the least."""
+    return files.groupBy(key).agg(F.min("dataid").alias("dataid"))
 
 
 def space(contents: DataFrame, key: str, length: str) -> DataFrame:
@@ -95,4 +95,5 @@ def space(contents: DataFrame, key: str, length: str) -> DataFrame:
 def store_for_writing(stores: DataFrame, need: int, sticky: int | None = None, reserve: int = 500 << 20) -> DataFrame:
     """The store to write to: the sticky one if it is ready and has room, else the first that has."""
     fits = stores.filter((F.col("status") == "Ready") & (F.col("free") > need + reserve))
-    return fits.orderBy(F.when(F.col("storenum") == sticky, 0).otherwise(1) if sticky is not None else F.lit(0), "storenum").limit(1)
+    first = [] if sticky is None else [F.when(F.col("storenum") == sticky, 0).otherwise(1)]
+    return fits.orderBy(*first, "storenum").limit(1)

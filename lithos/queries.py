@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lithos import catalog
 from lithos.functions import scalars
 from lithos.operators import content, events, forks, refs, tree, versions
+from lithos.sources import tables
 from lithos.sources.tables import table
 from lithos.streaming import replicate
 
@@ -321,9 +322,7 @@ def needs_reload(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT min(o_orderkey) AS first_id, max(o_orderkey) AS last_id, count(*) AS n FROM orders")
 def id_bounds(spark: SparkSession, d: str) -> DataFrame:
-    from lithos.sources.tables import id_bounds as bounds
-
-    return bounds(table(spark, d, "orders"), "o_orderkey")
+    return tables.id_bounds(table(spark, d, "orders"), "o_orderkey")
 
 
 # Tree
@@ -366,3 +365,86 @@ def subtree_length(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT parent, name, child FROM {EDGES} WHERE NOT (parent = 'r1' AND name = 'CANADA') UNION ALL SELECT 'r2', 'MOVED', child FROM {EDGES} WHERE parent = 'r1' AND name = 'CANADA'")
 def move_node(spark: SparkSession, d: str) -> DataFrame:
     return tree.moved(catalog.edges(spark, d), "r1", "CANADA", "r2", "MOVED")
+
+
+# Further catalog operators
+
+
+@query("SELECT a.serverid, coalesce(max(n.n_nationkey), -1)::INT AS servernum FROM (SELECT trim(n_name) AS serverid FROM nation UNION SELECT trim(r_name) FROM region) a LEFT JOIN nation n ON trim(n.n_name) = a.serverid GROUP BY 1")
+def server_numbers(spark: SparkSession, d: str) -> DataFrame:
+    nation, region = table(spark, d, "nation"), table(spark, d, "region")
+    known = nation.select(F.trim("n_name").alias("serverid"), F.col("n_nationkey").alias("servernum"))
+    return tables.server_numbers(known, known.select("serverid").union(region.select(F.trim("r_name"))))
+
+
+@query("SELECT l_orderkey AS node, 'data' AS fork, l_linenumber::BIGINT AS block_index, sha1(p_name) AS sha1, strlen(p_name)::BIGINT AS len FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey <= 500")
+def fork_content_ids(spark: SparkSession, d: str) -> DataFrame:
+    """A line is a block of its order's fork, a part its segment."""
+    lines = table(spark, d, "lineitem").filter("l_orderkey <= 500")
+    blocks = lines.select(F.col("l_orderkey").alias("node"), F.lit("data").alias("fork"), F.col("l_linenumber").cast("long").alias("block_index"), F.col("l_partkey").alias("segment"))
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("segment"), F.sha1("p_name").alias("sha1"), F.octet_length("p_name").cast("long").alias("len"))
+    return content.fork_content_ids(blocks, parts)
+
+
+@query(f"SELECT collection, segment, sha1, len FROM {CONTENTS} WHERE segment % 4 <> 0")
+def new_references(spark: SparkSession, d: str) -> DataFrame:
+    rows = catalog.contents(spark, d).drop("content")
+    return content.new_references(rows.unionByName(rows), rows.filter("segment % 4 = 0"))
+
+
+@query(f"SELECT segment, versionid, payload FROM (SELECT * FROM {VERSIONS} QUALIFY row_number() OVER (PARTITION BY segment ORDER BY versiontime DESC, uniquifier DESC) = 1) WHERE segment % 10 <> 0 UNION ALL SELECT c_custkey, -1, c_acctbal FROM customer WHERE c_custkey % 10 = 0")
+def dirty_overlay(spark: SparkSession, d: str) -> DataFrame:
+    """The latest state with every tenth customer written by an open transaction."""
+    committed = versions.latest(catalog.order_versions(spark, d)).select("segment", "versionid", "payload")
+    dirty = table(spark, d, "customer").filter("c_custkey % 10 = 0").select(F.col("c_custkey").alias("segment"), F.lit(-1).cast("long").alias("versionid"), F.col("c_acctbal").alias("payload"))
+    return versions.overlaid(committed, dirty)
+
+
+@query("SELECT c_nationkey::BIGINT AS volume, c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS versiontime FROM customer")
+def snapshot_upsert(spark: SparkSession, d: str) -> DataFrame:
+    have = table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("volume"), F.col("c_name").alias("name"), F.lit(1).cast("long").alias("versiontime"), "c_custkey")
+    new = have.filter("c_custkey % 3 = 0").withColumn("versiontime", F.lit(2).cast("long"))
+    return versions.with_snapshot(have, new).drop("c_custkey")
+
+
+@query("SELECT s_suppkey AS storenum, (s_acctbal * 1000000)::BIGINT AS free FROM supplier WHERE s_nationkey % 2 = 0 AND (s_acctbal * 1000000)::BIGINT > 1000 + 524288000 ORDER BY s_suppkey LIMIT 1")
+def store_for_writing(spark: SparkSession, d: str) -> DataFrame:
+    stores = table(spark, d, "supplier").select(F.col("s_suppkey").alias("storenum"), F.round(F.col("s_acctbal") * 1_000_000).cast("long").alias("free"), F.when(F.col("s_nationkey") % 2 == 0, "Ready").otherwise("Full").alias("status"))
+    return refs.store_for_writing(stores, 1000).drop("status")
+
+
+@query(f"SELECT eventid, eventtype FROM {LOG} WHERE eventid >= 900 ORDER BY eventid LIMIT 40")
+def server_event_page(spark: SparkSession, d: str) -> DataFrame:
+    return events.server_after_id(catalog.events(spark, d).select("eventid", "eventtype"), 900, 40)
+
+
+@query(f"SELECT segment, ('0x' || substr(sha1, 1, 2))::INT::BIGINT AS bucket FROM {CONTENTS}")
+def hash_buckets(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.contents(spark, d).select("segment", scalars.hash_bucket(F.col("sha1"), 8).alias("bucket"))
+
+
+@query(f"SELECT segment, collection FROM {CONTENTS} WHERE collection = 'en' AND (sha1, len) IN (SELECT (sha1, len) FROM {CONTENTS} WHERE segment % 50 = 0)")
+def retrieve_by_content_id(spark: SparkSession, d: str) -> DataFrame:
+    """All segments of a collection with the contents of every fiftieth segment."""
+    rows = catalog.contents(spark, d).drop("content")
+    return content.references(rows.filter("collection = 'en'"), rows.filter("segment % 50 = 0")).select("segment", "collection")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def delete_references(spark: SparkSession, d: str) -> DataFrame:
+    gone = table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return refs.without(table(spark, d, "orders").select("o_orderkey", "o_custkey"), gone, ["o_orderkey"])
+
+
+@query("SELECT trim(c_name) AS name, c_mktsegment AS segment, NULL::VARCHAR AS missing FROM customer WHERE c_nationkey = 7")
+def child_info(spark: SparkSession, d: str) -> DataFrame:
+    customer = table(spark, d, "customer")
+    nodes = customer.select(F.concat(F.lit("c"), F.col("c_custkey")).alias("node"), F.create_map(F.lit("segment"), "c_mktsegment", F.lit("other"), F.col("c_acctbal").cast("string")).alias("metadata"))
+    found = tree.child_info(catalog.edges(spark, d), nodes, "n7", ["segment", "missing"])
+    return found.select("name", F.try_element_at("metadata", F.lit("segment")).alias("segment"), F.try_element_at("metadata", F.lit("missing")).alias("missing"))
+
+
+@query("SELECT min(l_partkey) AS dataid, sha1(l_shipdate::VARCHAR) AS sha1 FROM lineitem GROUP BY 2")
+def rebuilt_index(spark: SparkSession, d: str) -> DataFrame:
+    files = table(spark, d, "lineitem").select(F.col("l_partkey").alias("dataid"), F.sha1(F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss")).alias("sha1"))
+    return refs.rebuilt_index(files, "sha1")

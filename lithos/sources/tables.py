@@ -35,6 +35,12 @@ def peers(connected: DataFrame) -> DataFrame:
     return connected.withColumn("is_self", F.col("servernum") == 1)
 
 
+def server_numbers(connected: DataFrame, asked: DataFrame, key: str = "serverid") -> DataFrame:
+    """The number of each server asked for, -1 for unknown ones; of several the largest."""
+    known = connected.groupBy(key).agg(F.max("servernum").alias("servernum"))
+    return asked.select(key).distinct().join(known, key, "left").withColumn("servernum", F.coalesce("servernum", F.lit(-1)).cast("int"))
+
+
 def segment_ids(cas: DataFrame, collection: int) -> DataFrame:
     """Segment ids of a collection in order, one row for each version."""
     return cas.filter(F.col("collectionid") == collection).select("segment").orderBy("segment")

@@ -40,6 +40,9 @@ NEGATIONS = "not no never isn't aren't wasn't don't didn't nobody without hardly
 REPORTS = "said says say wrote writes claimed claims quoted quote called calls according reported reports alleged told"
 INTENTS = "will gonna going should must want wanna shall"
 
+#: Stands for the absence of a pattern.
+NONE = "none"
+
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*")
 CLAUSE = re.compile(r"[.!?;\n]+")
 
@@ -181,12 +184,14 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(stems)
         for batch in batches:
-            hits = [(p, t) for text, t in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True) for p in {*reader.patterns(text), "any"} if p != "any" or not reader.patterns(text)]
+            hits = []
+            for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True):
+                hits += [(p, toxic) for p in {*reader.patterns(text)} or {NONE}]
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in hits], pa.string()), pa.array([t for _, t in hits], pa.int32())], ["pattern", "toxic"])
 
     seen = rows.select("text", "toxic").mapInArrow(read, "pattern string, toxic int").groupBy("pattern").agg(F.sum("toxic").alias("bad"), F.count("*").alias("all")).collect()
     for r in seen:  # a few dozen patterns
-        if r["pattern"] == "any":
+        if r["pattern"] == NONE:
             model.base = min(0.25, (r["bad"] + 0.5) / (r["all"] + 25))
         else:
             model.weights[r["pattern"]] = (r["bad"] + 4 * prior(r["pattern"])) / (r["all"] + 4)

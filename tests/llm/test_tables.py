@@ -10,8 +10,10 @@ import pytest
 import corpus_pipeline
 from lithos.llm import chat, warc
 from lithos.llm import queries as llm
+from lithos.llm import toxicity
 from lithos.llm.common import shared_path
 from test_queries import TABLES, rows
+from test_text_operators import base_spans, brute_leaks, exact_classes
 
 SF = "/root/testdata/sf0.001"
 
@@ -99,3 +101,29 @@ def test_pipeline_stages(spark, tmp_path):
     assert seen["pieces"].keys() == seen["secrets"].keys()
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, source.limit(0), SF).count() == 0
+
+
+def test_pipeline_equals_brute_force(spark):
+    import sentencepiece
+
+    documents = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in documents.collect()}
+    model = toxicity.fit(documents, spark.read.parquet(f"{SF}/labels.parquet"))
+    reader = toxicity.Reader(model.stems)
+    texts = {i: t for i, t in texts.items() if toxicity.score_of(reader.patterns(t), model) < corpus_pipeline.TOXIC}
+    texts = {i: texts[i] for i, c in exact_classes(texts).items() if i == c}
+    items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    leaked = {d for d, _ in brute_leaks(texts, items)}
+    texts = {i: t for i, t in texts.items() if i not in leaked}
+    library, want = sentencepiece.SentencePieceProcessor(model_proto=llm.piece_model()), {}
+    for i, t in texts.items():
+        parts, at = [], 0
+        for _, a, b in base_spans(t):
+            if a >= at:
+                parts += [t[at:a], "[SECRET]"]
+            at = max(at, b)
+        t = "".join(parts) + t[at:]
+        ids = library.encode(t)
+        want[i] = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest())
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, SF).collect()}
+    assert got == want

@@ -66,7 +66,7 @@ class Shingler:
         if not words:
             return np.zeros(0, np.uint64)
         known = self.known
-        if len(known) > 400_000:
+        if len(known) > 150_000:
             known.clear()
         try:
             codes = [known[w] for w in words]
@@ -225,11 +225,16 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return both.mapInArrow(verify, "u binary, v binary")
 
 
+def vertex(id: Column, key: Column) -> Column:
+    """A text's key with its first id before it, so that keys are in order of ids."""
+    return F.concat(F.unhex(F.lpad(F.coalesce(F.hex(id), F.lit("f" * 16)), 16, "0")), key)
+
+
 def texts_of(documents: DataFrame, nodes: DataFrame, shared: DataFrame) -> DataFrame:
-    """node, text of the nodes that share a bucket, read from the row of the node's first id."""
-    wanted = shared.select("node").distinct().join(nodes.select(F.col("node"), F.col("id").alias("w_id")), "node").withColumnRenamed("node", "w_node")
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), node(F.col("text")).alias("node"), "text")
-    texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("node") == F.col("w_node")), "left_semi").select("node", "text")
+    """node (a vertex), text of those that share a bucket, read from the row of the text's first id."""
+    wanted = shared.select("node").distinct().join(nodes.select(F.col("vertex").alias("node"), F.col("node").alias("w_key"), F.col("id").alias("w_id")), "node")
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), node(F.col("text")).alias("key"), "text")
+    texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("key") == F.col("w_key"))).select("node", "text")
     return texts.groupBy("node").agg(F.first("text").alias("text"))
 
 
@@ -237,7 +242,8 @@ def components(links: DataFrame) -> DataFrame:
     """node, label: a node of its connected component, the same for all, by contraction: each node
     hooks to the least of itself and its neighbours, hooks are followed to their ends (each step
     doubles the length), and the links between the ends are the next round's. As every end is met by
-    a neighbour's hook or its own, a round leaves at most half the nodes; lineage is cut in each."""
+    a neighbour's hook or its own, a round leaves at most half the nodes; where hubs are less than their
+    buckets' members, as `vertex` makes them, one round does nearly all. Lineage is cut in each."""
     labels = None
     while True:
         both = links.select("u", "v").union(links.select("v", "u")).toDF("node", "other")
@@ -245,7 +251,7 @@ def components(links: DataFrame) -> DataFrame:
         while True:
             further = roots.select(F.col("node").alias("root"), F.col("root").alias("further"))
             roots = checkpointed(roots.join(further, "root").select("node", F.col("further").alias("root"), (F.col("further") != F.col("root")).alias("moved")))
-            if roots.filter("moved").isEmpty():
+            if not roots.agg(F.max("moved")).first()[0]:
                 break
         roots = roots.select("node", "root")
         if labels is None:
@@ -254,7 +260,7 @@ def components(links: DataFrame) -> DataFrame:
             labels = checkpointed(labels.join(roots.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("root", "label").alias("label")))
         ends = [roots.select(F.col("node").alias(e), F.col("root").alias(f"root_{e}")) for e in ("u", "v")]
         links = checkpointed(links.join(ends[0], "u").join(ends[1], "v").select(pair(F.col("root_u"), F.col("root_v"))).filter("u != v").distinct())
-        if links.isEmpty():
+        if links.agg(F.count("*")).first()[0] == 0:
             return labels
 
 
@@ -263,9 +269,10 @@ def classes(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     documents (doc_id, text)."""
     spark = documents.sparkSession
     signed = checkpointed(signatures(documents))
-    nodes = checkpointed(signed.groupBy("node").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")))
+    nodes = signed.groupBy("node").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
+    nodes = checkpointed(nodes.withColumn("vertex", vertex(F.col("id"), F.col("node"))))
     path = shared_path(spark, "near-dup")
-    buckets(nodes).write.parquet(f"{path}/buckets")
+    buckets(nodes.select(F.col("vertex").alias("node"), "id", "bands")).write.parquet(f"{path}/buckets")
     shared = spark.read.parquet(f"{path}/buckets")
     texts_of(documents, nodes, shared).write.parquet(f"{path}/texts")
     texts = spark.read.parquet(f"{path}/texts")
@@ -276,7 +283,7 @@ def classes(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         all_labels = checkpointed(shared.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
         more = checkpointed(further_candidates(shared, all_labels, turn).join(tried, ["u", "v"], "left_anti"))
         new = checkpointed(verified(more, texts, threshold))
-        if new.isEmpty():
+        if new.agg(F.count("*")).first()[0] == 0:
             break
         tried = tried.union(more)
         # The new links join classes: components of the labels, and labels of labels.
@@ -285,7 +292,7 @@ def classes(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         further = components(joined).select(F.col("node").alias("label"), F.col("label").alias("further"))
         labels = checkpointed(all_labels.join(further, "label", "left").select("node", F.coalesce("further", "label").alias("label")))
     remove(spark, path)
-    member = nodes.select("node", "id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    member = nodes.select("node", "id", "vertex").join(labels.withColumnRenamed("node", "vertex"), "vertex", "left").withColumn("label", F.coalesce("label", "vertex"))
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node"))
     chosen = member.groupBy("label").agg(least.alias("least")).select("label", F.col("least.id").alias("class_id"), F.col("least.node").alias("class_node"))
     of_node = member.join(chosen, "label").select("node", "class_id", "class_node")

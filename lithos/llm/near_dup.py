@@ -10,9 +10,11 @@ has a dart, so the work follows the text's length and not length times coordinat
 Bands of coordinates are joined: within a bucket every text is paired with a hub and with its
 neighbour in an order by a further band, which is linear in the bucket's size, and never all with
 all. Each pair is verified by its exact weighted Jaccard similarity, and classes are the
-connected components of the verified links. Then, in buckets that still hold several classes, the
-texts outside the largest are tried against another member of it, in rounds (three at most, or
-until one finds no new link).
+connected components of the verified links. Then, in buckets that still hold several classes, every
+text outside the largest is compared exactly with every text of another class, in blocks, through
+the block's postings of regions; no pair is written but a link found. So the classes are those of
+all pairs within buckets. The work of that step grows with a bucket's size times its texts outside
+the largest class, spread over tasks of two blocks each.
 
 Exact copies of a text are one node throughout. Words are `\\w+` in lower case; a text of one to
 four words is one shingle, one without words matches only its exact copies. A null text is empty.
@@ -34,8 +36,8 @@ from lithos.llm.common import checkpointed, remove, shared_path
 
 WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 25, 5
 K = BANDS * ROWS
-#: Rounds at most.
-ROUNDS = 4
+#: Texts of a bucket that are compared with as many others in one unit of work.
+BLOCK = 256
 TOKEN = re.compile(r"\w+")
 #: Ends of the layers of ranks; each has four times the darts of all before.
 LAYERS = [4.0**e for e in range(-3, 9)]
@@ -103,7 +105,7 @@ def signature(cells: np.ndarray) -> np.ndarray:
     """The earliest dart of each of K coordinates, for the regions of a text (one at least)."""
     out, empty = np.zeros(K, np.uint64), np.ones(K, bool)
     for layer, (low, high, cumulative) in enumerate(_SPANS):
-        seeds = mix(cells + np.uint64(layer + 1) * _C)
+        seeds = mix(cells + np.array([layer + 1], np.uint64) * _C)
         number = np.searchsorted(cumulative, unit(seeds), side="right")
         total = int(number.sum())
         if not total:
@@ -193,14 +195,64 @@ def candidates(shared: DataFrame) -> DataFrame:
     return pairs.select(pair(F.col("node"), F.col("other"))).distinct()
 
 
-def further_candidates(shared: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-    """In buckets of several classes: members outside the largest, each with one member of it that
-    changes with `turn`."""
+def units(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, b, o, query, node, label: buckets of several classes cut into units (key, b, o) of a block
+    of all members and a block of those outside the largest class, the latter marked as queries."""
     named = shared.select("key", "node").join(labels, "node")
-    of_class = named.groupBy("key", "label").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)), "node"))["node"].alias("pick"))
-    largest = of_class.groupBy("key").agg(F.count("*").alias("classes"), F.max(F.struct("n", "label", "pick")).alias("top")).filter("classes > 1").select("key", "top")
-    outside = named.join(largest, "key").filter(F.col("label") != F.col("top.label"))
-    return outside.select(pair(F.col("node"), F.col("top.pick"))).distinct()
+    of_class = named.groupBy("key", "label").agg(F.count("*").alias("n"))
+    sizes = of_class.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"))
+    # The hub was tried against all: a bucket of two has no untried pair.
+    sizes = sizes.filter((F.col("n") > 2) & (F.col("n") > F.col("top.n")))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    sizes = sizes.select("key", F.col("top.label").alias("top"), blocks(F.col("n")).alias("n_b"), blocks(F.col("n") - F.col("top.n")).alias("n_o"))
+    several = named.join(sizes, "key")
+    of_node = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    members = several.select("key", of_node(F.col("n_b")).alias("b"), all_of(F.col("n_o")).alias("o"), F.lit(False).alias("query"), "node", "label")
+    outside = several.filter(F.col("label") != F.col("top"))
+    queries = outside.select("key", all_of(F.col("n_b")).alias("b"), of_node(F.col("n_o")).alias("o"), F.lit(True).alias("query"), "node", "label")
+    return members.unionByName(queries)
+
+
+def links_across(members: list[tuple[bytes, bytes, np.ndarray]], queries: list[tuple[bytes, bytes, np.ndarray]], threshold: float) -> Iterator[tuple[bytes, bytes]]:
+    """For each query (node, label, regions) a link to each other class of the members that has one."""
+    sizes = np.array([len(r) for _, _, r in members])
+    number = {label: i for i, label in enumerate({label for _, label, _ in members})}
+    labels = np.array([number[label] for _, label, _ in members])
+    regions_ = np.concatenate([r for _, _, r in members])
+    order = np.argsort(regions_, kind="stable")
+    postings, owners = regions_[order], np.repeat(np.arange(len(members)), sizes)[order]
+    for name, label, cells in queries:
+        first, end = np.searchsorted(postings, cells, "left"), np.searchsorted(postings, cells, "right")
+        counts = end - first
+        at = np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        common = np.bincount(owners[at], minlength=len(members))
+        near = np.flatnonzero((common / np.maximum(1, len(cells) + sizes - common) >= threshold) & (labels != number.get(label, -1)))
+        for i in near[np.unique(labels[near], return_index=True)[1]]:
+            yield name, members[i][0]
+
+
+def further_links(shared: DataFrame, labels: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """u, v: links between classes (labels: node, label) of a bucket, one at least for each text outside
+    its largest class and other class that it has a link to."""
+    rows = units(shared, labels).join(texts, "node").repartition("key", "b", "o").sortWithinPartitions("key", "b", "o")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, unit_, sides = Shingler(), None, ([], [])
+
+        def found() -> pa.RecordBatch:
+            links = list(links_across(*sides, threshold)) if sides[0] and sides[1] else []
+            return pa.RecordBatch.from_arrays([pa.array([min(x) for x in links], pa.binary()), pa.array([max(x) for x in links], pa.binary())], ["u", "v"])
+
+        for batch in batches:
+            for key, b, o, query, name, label, text in zip(*(batch[c].to_pylist() for c in ("key", "b", "o", "query", "node", "label", "text")), strict=True):
+                if (key, b, o) != unit_:
+                    yield found()
+                    unit_, sides = (key, b, o), ([], [])
+                sides[query].append((name, label, regions(shingler.shingles(text or ""))))
+        yield found()
+
+    return rows.select("key", "b", "o", "query", "node", "label", "text").mapInArrow(search, "u binary, v binary").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -276,21 +328,15 @@ def classes(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     shared = spark.read.parquet(f"{path}/buckets")
     texts_of(documents, nodes, shared).write.parquet(f"{path}/texts")
     texts = spark.read.parquet(f"{path}/texts")
-    tried = checkpointed(candidates(shared))
-    links = checkpointed(verified(tried, texts, threshold))
+    links = checkpointed(verified(candidates(shared), texts, threshold))
     labels = components(links)
-    for turn in range(1, ROUNDS):
-        all_labels = checkpointed(shared.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
-        more = checkpointed(further_candidates(shared, all_labels, turn).join(tried, ["u", "v"], "left_anti"))
-        new = checkpointed(verified(more, texts, threshold))
-        if new.agg(F.count("*")).first()[0] == 0:
-            break
-        tried = tried.union(more)
-        # The new links join classes: components of the labels, and labels of labels.
-        ends = [all_labels.select(F.col("node").alias(e), F.col("label").alias(f"label_{e}")) for e in ("u", "v")]
-        joined = new.join(ends[0], "u").join(ends[1], "v").select(pair(F.col("label_u"), F.col("label_v"))).filter("u != v").distinct()
-        further = components(joined).select(F.col("node").alias("label"), F.col("label").alias("further"))
-        labels = checkpointed(all_labels.join(further, "label", "left").select("node", F.coalesce("further", "label").alias("label")))
+    labels = checkpointed(texts.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
+    further = checkpointed(further_links(shared, labels, texts, threshold))
+    # The further links join classes: components of the labels, and labels of labels.
+    ends = [labels.select(F.col("node").alias(e), F.col("label").alias(f"label_{e}")) for e in ("u", "v")]
+    joined = further.join(ends[0], "u").join(ends[1], "v").select(pair(F.col("label_u"), F.col("label_v"))).distinct()
+    merged = components(joined).select(F.col("node").alias("label"), F.col("label").alias("further"))
+    labels = checkpointed(labels.join(merged, "label", "left").select("node", F.coalesce("further", "label").alias("label")))
     remove(spark, path)
     member = nodes.select("node", "id", "vertex").join(labels.withColumnRenamed("node", "vertex"), "vertex", "left").withColumn("label", F.coalesce("label", "vertex"))
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node"))

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +96,22 @@ def test_near_dup_edges(spark):
     assert near_dup.classes(odd(spark, EDGES).limit(0)).count() == 0
 
 
+def test_links_across_blocks_of_a_bucket_equal_all_pairs(spark, monkeypatch):
+    """A star (copies are near their base only) and a chain in one bucket, cut into small blocks."""
+    monkeypatch.setattr(near_dup, "BLOCK", 4)
+    base = [f"w{i}" for i in range(60)]
+    star = [base] + [base[: 5 * k + 7] + [f"x{k}"] + base[5 * k + 8 :] for k in range(8)]
+    chain = [[f"c{i}" for i in range(6 * k, 6 * k + 60)] for k in range(5)]
+    rows = [(bytes([i]), " ".join(words)) for i, words in enumerate(star + chain)]
+    cells = {n: np.sort(near_dup.regions(near_dup.Shingler().shingles(t))) for n, t in rows}
+    true = {(u, v) for u in cells for v in cells if u < v and near_dup.similarity(cells[u], cells[v]) >= 0.8}
+    shared = spark.createDataFrame([(1, n) for n, _ in rows], "key long, node binary")
+    labels = spark.createDataFrame([(n, n) for n, _ in rows], "node binary, label binary")
+    texts = spark.createDataFrame(rows, "node binary, text string")
+    got = {(bytes(r["u"]), bytes(r["v"])) for r in near_dup.further_links(shared, labels, texts, 0.8).collect()}
+    assert got == true and len(true) == 12
+
+
 def test_dart_signatures_estimate_weighted_jaccard():
     import numpy as np
 

@@ -1,10 +1,14 @@
 """Licence notices by Dice's coefficient over word bigrams, with built-in functions only.
 
 A text's word bigrams are matched with those of the templates (a fixed list, so broadcast). Matched
-bigrams of a template that stand close together form a stretch; a stretch whose length lies outside
-the size bounds for which the coefficient can reach the threshold is dropped, the others are
-compared: twice the bigrams in common, counted with repetition, over the bigrams of both. Where
-stretches of several templates overlap, the best stays, then the longest, then the first by name.
+bigrams of a template that stand close together form a stretch, which is compared: twice the bigrams
+in common, counted with repetition, over the bigrams of both. A stretch that falls below the
+threshold (a notice between words it shares with prose, or several notices in a row) is cut: each of
+its windows from a matched bigram to another is compared, but for those that the matched bigram next
+to an end improves. Of stretches and windows that overlap the best stays, then the longest, then the
+first by name; this is repeated for those that overlap none that stays.
+
+The SQL knows whole stretches only, so it says the same wherever no stretch has to be cut.
 
 Words are runs of ASCII letters and digits in lower case. Null and empty texts have none. Rows that
 repeat a doc_id and a text give one result; a null doc_id is a value like any other.
@@ -12,6 +16,9 @@ repeat a doc_id and a text give one result; a null doc_id is a value like any ot
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +46,11 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
 
+_WORDS = {k: [w for w in re.split("[^a-z0-9]+", v.lower()) if w] for k, v in TEMPLATES.items()}
+#: Bigrams of the longest template; the most often that a template repeats one.
+LONGEST = max(len(w) - 1 for w in _WORDS.values())
+MOST = max(max(Counter(zip(w, w[1:])).values()) for w in _WORDS.values())
+
 
 def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), "")
@@ -70,19 +82,39 @@ def notices(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     place = Window.partitionBy("doc_id", "node", "license").orderBy("at")
     far = F.col("at") - F.lag("at").over(place) > F.col("gap") + 1
     hits = hits.withColumn("far", F.coalesce(far, F.lit(True)).cast("int")).withColumn("stretch", F.sum("far").over(place))
-    counted = hits.groupBy("doc_id", "node", "license", "size", "stretch", "bigram").agg(F.least(F.count("*"), F.first("times")).alias("common"), F.min("at").alias("first"), F.max("at").alias("last"))
-    found = counted.groupBy("doc_id", "node", "license", "size", "stretch").agg(F.sum("common").alias("common"), F.min("first").alias("first"), F.max("last").alias("last"))
-    found = found.withColumn("length", F.col("last") - F.col("first") + 1)
-    # The coefficient of sizes a and b is at most 2 min / (a + b).
-    found = found.filter((F.col("length") * (2 - threshold) >= F.col("size") * threshold) & (F.col("length") * threshold <= F.col("size") * (2 - threshold)))
-    found = found.withColumn("dice", 2 * F.col("common") / (F.col("length") + F.col("size"))).filter(F.col("dice") >= threshold)
-
-    in_text = Window.partitionBy("doc_id", "node").orderBy("first", "last", "license")
-    so_far = F.max("last").over(in_text.rowsBetween(Window.unboundedPreceding, -1))
-    found = found.withColumn("new", F.coalesce(F.col("first") > so_far, F.lit(True)).cast("int")).withColumn("place", F.sum("new").over(in_text))
-    best = Window.partitionBy("doc_id", "node", "place").orderBy(F.desc("dice"), F.desc("length"), "license")
-    found = found.withColumn("rank", F.row_number().over(best)).filter("rank = 1")
-    return found.select("doc_id", "license", "dice", F.col("first").cast("long").alias("start_word"), (F.col("last") + 2).cast("long").alias("end_word"))
+    whole = Window.partitionBy("doc_id", "node", "license", "stretch")
+    # Of b bigrams, all in common, the coefficient is at most 2 b / (b + size).
+    hits = hits.withColumn("hits", F.count("*").over(whole)).filter(F.col("hits") * (2 - threshold) >= F.col("size") * threshold - 1e-9)
+
+    # The occurrences of the bigram that stand `times` before and after: in a window from a to z, one counts if `before` stands before a.
+    same = Window.partitionBy("doc_id", "node", "license", "stretch", "bigram").orderBy("at")
+    earlier, later = (F.collect_list("at").over(same.rowsBetween(*rows)) for rows in ((-MOST, -1), (1, MOST)))
+    hits = hits.withColumn("earlier", earlier).withColumn("later", later)
+    hits = hits.withColumn("before", F.get("earlier", (F.size("earlier") - F.col("times")).cast("int"))).withColumn("after", F.get("later", (F.col("times") - 1).cast("int"))).drop("earlier", "later")
+    hits = hits.withColumn("common", F.count(F.when(F.col("before").isNull(), 1)).over(whole)).withColumn("first", F.min("at").over(whole)).withColumn("last", F.max("at").over(whole))
+    hits = hits.withColumn("length", F.col("last") - F.col("first") + 1).withColumn("dice", 2 * F.col("common") / (F.col("length") + F.col("size")))
+    stretches = hits.filter((F.col("dice") >= threshold) & (F.col("at") == F.col("first"))).select("doc_id", "node", "license", "dice", "length", "first", "last")
+
+    along = whole.orderBy("at")
+    ahead = F.collect_list(F.struct("at", "before")).over(along.rangeBetween(0, int(LONGEST * (2 - threshold) / threshold) + 1))
+    cut = hits.filter(F.col("dice") < threshold).withColumn("ahead", ahead).withColumn("joined", F.lag("at").over(along) == F.col("at") - 1).withColumn("lost", F.lag("after").over(along))
+    cut = cut.withColumn("ahead", F.filter("ahead", lambda h: h["before"].isNull() | (h["before"] < F.col("at"))))
+
+    def window(h: Column, i: Column) -> Column:
+        length = h["at"] - F.col("at") + 1
+        follows = F.coalesce(F.get(F.col("ahead"), i + 1)["at"] == h["at"] + 1, F.lit(False))
+        leads = F.coalesce(F.col("joined"), F.lit(False)) & F.coalesce(F.col("lost") > h["at"], F.lit(True))
+        return F.struct((2 * (i + 1) / (length + F.col("size"))).alias("dice"), length.alias("length"), F.col("at").alias("first"), h["at"].alias("last"), (follows | leads).alias("grows"))
+
+    cut = cut.withColumn("windows", F.filter(F.transform("ahead", window), lambda w: (w["dice"] >= threshold) & ~w["grows"])).select("doc_id", "node", "license", F.explode("windows").alias("window"))
+    found = stretches.unionByName(cut.select("doc_id", "node", "license", "window.dice", "window.length", "window.first", "window.last"))
+
+    ranked = F.sort_array(F.collect_list(F.struct((-F.col("dice")).alias("less"), (-F.col("length")).alias("shorter"), "license", "first", "last", "dice")))
+    found = found.groupBy("doc_id", "node").agg(ranked.alias("ranked"))
+    taken = lambda kept, w: F.exists(kept, lambda k: (k["first"] <= w["last"]) & (w["first"] <= k["last"]))
+    best = F.aggregate("ranked", F.slice("ranked", 1, 0), lambda kept, w: F.when(taken(kept, w), kept).otherwise(F.concat(kept, F.array(w))))
+    found = found.select("doc_id", F.explode(best).alias("best"))
+    return found.select("doc_id", "best.license", "best.dice", F.col("best.first").cast("long").alias("start_word"), (F.col("best.last") + 2).cast("long").alias("end_word"))
 
 
 def oracle() -> str:

@@ -56,6 +56,22 @@ def test_dice_by_hand(spark):
     assert got["license"] == "MIT-line" and got["dice"] == pytest.approx(2 * common / (common + sum(b.values())))
 
 
+def test_repeated_notices_and_notices_in_prose(spark):
+    prose = "The rest of the story is told in the first part of the book, and to the best of our knowledge any person in the city knew the name of the author and the terms of use. In the case of the river it was the work of the rain. "
+    rows, want = [], set()
+    for k, (name, text) in enumerate(licenses.TEMPLATES.items()):
+        n = len(re.findall("[a-z0-9]+", text.lower()))
+        if n < 30:
+            continue
+        rows += [(10 * k, f"{text} and here once more {text}"), (10 * k + 1, f"{prose} {text} {prose}"), (10 * k + 2, f"{text} {text} {text}")]
+        p = len(re.findall("[a-z0-9]+", prose.lower()))
+        want |= {(10 * k, name, 0, n), (10 * k, name, n + 4, 2 * n + 4), (10 * k + 1, name, p, p + n)} | {(10 * k + 2, name, i * n, (i + 1) * n) for i in range(3)}
+    rows.append((None, rows[0][1]))
+    want |= {(None, *w[1:]) for w in want if w[0] == rows[0][0]}
+    got = [(r["doc_id"], r["license"], r["start_word"], r["end_word"], r["dice"]) for r in licenses.notices(odd(spark, rows)).collect()]
+    assert {g[:4] for g in got} == want and len(got) == len(want) and all(g[4] >= 0.98 for g in got)
+
+
 # Near duplicates
 
 

@@ -1,8 +1,8 @@
 """Benchmark decontamination by SimHash over item-sized windows, with built-in functions only.
 
-Windows of a benchmark item's number of words stand wherever a text shares a five-word shingle with
-an item of that length, aligned as the item is (a text without a common shingle can't reach the
-threshold). A window's fingerprint is the SimHash of its words. Fingerprints are cut into RADIUS + 1
+Windows of a benchmark item's number of words stand at every word from which on a text has so many
+five-word shingles of items of that length that the threshold can be reached, in whatever order and
+place. A window's fingerprint is the SimHash of its words. Fingerprints are cut into RADIUS + 1
 blocks: two within RADIUS bits agree in a block, so a join on (length, block, value) finds all such
 pairs, and the exact weighted Jaccard similarity of their shingles, counts being weights, decides.
 
@@ -72,16 +72,24 @@ def leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     """doc_id, node (key of the text), item_id, start (word), similarity: for each text and item
     the most similar window that reaches the threshold, the first of equals."""
     items = items_of(benchmark)
-    anchors = items.select("n", F.posexplode_outer("item_shingles").alias("offset", "shingle")).distinct()
+    anchors = items.select("n", F.explode_outer("item_shingles").alias("shingle")).distinct()
     texts = documents.select("doc_id", node(F.col("text")).alias("node"), word_hashes(F.col("text")).alias("hashes"))
     # The outer form: for the inner one Spark tests the array's size first, in a filter that computes the hashes anew for each shingle.
-    runs = texts.withColumn("runs", shingles("hashes")).select("doc_id", "node", "hashes", "runs", F.posexplode_outer("runs").alias("at", "shingle"))
+    runs = texts.withColumn("runs", shingles("hashes")).select("doc_id", "node", "hashes", F.posexplode_outer("runs").alias("at", "shingle"))
     if anchors.count() <= BROADCAST:
         anchors = F.broadcast(anchors)
-    start = F.greatest(F.least(F.col("at") - F.col("offset"), F.size("hashes") - F.col("n")), F.lit(0))
-    hits = runs.join(anchors, "shingle").withColumn("start", start)
-    windows = hits.select("doc_id", "node", "n", "start", F.slice("hashes", F.col("start") + 1, F.col("n")).alias("words"), F.slice("runs", F.col("start") + 1, F.col("n") - WORDS + 1).alias("window"))
-    windows = windows.groupBy("doc_id", "node", "n", "start").agg(F.first("words").alias("words"), F.first("window").alias("window"))
+    hits = runs.join(anchors, "shingle").groupBy("doc_id", "node", "n").agg(F.first("hashes").alias("hashes"), F.array_sort(F.collect_set("at")).alias("ats"))
+    # Of a window's m shingles and an item's n - 4, this many at least are in common; from the k-th hit on, so many lie in windows that start here.
+    m = F.least(F.col("n"), F.size("hashes")) - WORDS + 1
+    hits = hits.withColumn("m", m).withColumn("need", F.ceil((F.col("m") + F.col("n") - WORDS + 1) * threshold / (1 + threshold) - 1e-9).cast("int"))
+
+    def starts(at: Column, k: Column) -> Column:
+        low = F.greatest(F.get("ats", k + F.col("need") - 1) - F.col("m") + 1, F.lit(0))
+        high = F.least(at, F.greatest(F.size("hashes") - F.col("n"), F.lit(0)))
+        return F.when(low <= high, F.sequence(low, F.greatest(low, high))).otherwise(F.array().cast("array<int>"))
+
+    windows = hits.withColumn("starts", F.array_distinct(F.flatten(F.transform("ats", starts)))).select("doc_id", "node", "n", "hashes", F.explode("starts").alias("start"))
+    windows = windows.select("doc_id", "node", "n", "start", F.slice("hashes", F.col("start") + 1, F.col("n")).alias("words")).withColumn("window", shingles("words"))
     windows = windows.withColumn("print", simhash(F.col("words"))).select("doc_id", "node", "n", "start", "print", "window")
     keyed = lambda df, name: df.select("*", F.posexplode_outer(blocks(F.col(name))).alias("block", "value"))
     near = keyed(windows, "print").join(keyed(items, "fingerprint"), ["n", "block", "value"])

@@ -379,6 +379,29 @@ def test_leaks_equal_brute_force(spark, documents, texts):
     assert all(abs(got[k][0] - want[k][0]) <= 5 and got[k][1] == pytest.approx(want[k][1]) for k in want)
 
 
+def made_items(dice, sizes):
+    return {i: " ".join(dice.choice("bcdfgk") + dice.choice("aeiou") + str(dice.randrange(5000)) for _ in range(n)) for i, n in enumerate(sizes)}
+
+
+def leaks_and_brute(spark, texts, items):
+    rows, benchmark = (spark.createDataFrame(list(d.items()), f"{name} long, text string") for d, name in ((texts, "doc_id"), (items, "item_id")))
+    got = {(r["doc_id"], r["item_id"]): (r["start"], pytest.approx(r["similarity"])) for r in decontamination.leaks(rows, benchmark).collect()}
+    return got, brute_leaks(texts, items)
+
+
+def test_leaks_whose_parts_change_places_equal_brute_force(spark):
+    dice = random.Random(8)
+    items = made_items(dice, (41, 59, 59, 70, 100, 100))
+    texts = {}
+    for i, item in items.items():
+        w = item.split()
+        for k, cut in enumerate((len(w) // 2, len(w) // 3, 7)):
+            texts[10 * i + k] = " ".join(["words", "before", "it"] * 9 + w[cut:] + w[:cut] + ["and", "words", "after"] * 9)
+        texts[10 * i + 3] = " ".join(w[len(w) // 2 :] + w[: len(w) // 2 - 1])
+    got, want = leaks_and_brute(spark, texts, items)
+    assert got == want and len(want) == 23
+
+
 def test_leak_edges(spark):
     items = spark.createDataFrame([(1, "one two three four five six seven"), (2, None), (3, "too short"), (4, "one two three four five six seven")], "item_id long, text string")
     rows = odd(spark, [*EDGES, (8, "x one two three four five six seven y"), (8, "x one two three four five six seven y"), (None, "one two three four five six seven")])

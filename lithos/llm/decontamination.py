@@ -2,12 +2,14 @@
 
 Windows of a benchmark item's number of words stand at every word from which on a text has so many
 five-word shingles of items of that length that the threshold can be reached, in whatever order and
-place. A window's fingerprint is the SimHash of its words. Fingerprints are cut into RADIUS + 1
-blocks: two within RADIUS bits agree in a block, so a join on (length, block, value) finds all such
-pairs, and the exact weighted Jaccard similarity of their shingles, counts being weights, decides.
+place. Windows and items of a length are paired by the least of their shingles in hash order, counted
+with repetition: so many of each that two at the threshold have one in common. A pair stays if its
+fingerprints, the SimHash of its shingles, agree in the item's firm bits, and the exact weighted
+Jaccard similarity of the shingles, counts being weights, decides.
 
-A pair at 0.8 differs in one or two words of an item, some 6 of 64 bits; RADIUS is 14, so that the
-blocks lose none of those.
+No step loses a pair. A window of at most the item's m shingles that reaches the threshold t adds and
+takes away 2 m (1 - t) / (1 + t) shingles at most, each of which changes a bit's sum of votes by one;
+a bit is firm if its sum in the item is greater than that, so such a window has it too.
 
 Items of fewer than five words aren't searched for. Null texts are empty and match nothing. Rows
 that repeat a doc_id and a text give one result; a null doc_id is a value like any other. Items with
@@ -16,10 +18,12 @@ the same words are all reported.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORDS, THRESHOLD, RADIUS = 5, 0.8, 14
+WORDS, THRESHOLD = 5, 0.8
 #: The benchmark's shingles are broadcast up to this many (24 bytes each), and joined by a shuffle beyond.
 BROADCAST = 1_000_000
 
@@ -28,6 +32,11 @@ def node(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once; a column named inside a lambda is computed anew for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def word_hashes(text: Column) -> Column:
     words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
     return F.transform(words, lambda w: F.xxhash64(w))
@@ -35,43 +44,56 @@ def word_hashes(text: Column) -> Column:
 
 def shingles(hashes: str) -> Column:
     """Hashes of the five-word runs of an array of word hashes; empty below five words."""
-    run = lambda i: F.xxhash64(*[F.get(F.col(hashes), i + k) for k in range(WORDS)])
-    return F.when(F.size(hashes) >= WORDS, F.transform(F.sequence(F.lit(0), F.greatest(F.size(hashes) - WORDS, F.lit(0))), run)).otherwise(F.array().cast("array<bigint>"))
+    def of(h: Column) -> Column:
+        run = lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WORDS)])
+        return F.when(F.size(h) >= WORDS, F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - WORDS, F.lit(0))), run)).otherwise(F.array().cast("array<bigint>"))
+
+    return once(F.col(hashes), of)
 
 
-def simhash(hashes: Column) -> Column:
-    """64 bits: each the sign of the sum of the words' votes."""
+def votes(hashes: Column) -> Column:
+    """64 sums over the hashes, each of which adds or takes one by its bit."""
 
-    def bit(b: Column) -> Column:
-        votes = F.aggregate(hashes, F.lit(0), lambda n, h: n + F.when(F.call_function("getbit", h, b) == 1, 1).otherwise(-1))
-        return F.when(votes > 0, F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))
+    def of(h: Column, b: Column) -> Column:
+        return F.aggregate(h, F.lit(0), lambda n, x: n + F.when(F.call_function("getbit", x, b) == 1, 1).otherwise(-1))
 
-    bits = F.transform(F.sequence(F.lit(0), F.lit(63)), bit)
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
+    return once(hashes, lambda h: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: of(h, b)))
 
 
-def blocks(fingerprint: Column) -> Column:
-    """RADIUS + 1 slices that cover the 64 bits."""
-    edges = [round(64 * i / (RADIUS + 1)) for i in range(RADIUS + 2)]
-    cut = lambda a, b: F.shiftrightunsigned(fingerprint, a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long"))
-    return F.array(*[cut(a, b) for a, b in zip(edges, edges[1:])])
+def bits(flags: Column) -> Column:
+    """64 flags as one number."""
+    ones = F.transform(flags, lambda x, b: F.when(x, F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
+    return F.aggregate(ones, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
+
+
+def simhash(sums: Column) -> Column:
+    """64 bits: each the sign of a sum of votes."""
+    return bits(F.transform(sums, lambda v: v > 0))
 
 
 def weighted(run: Column) -> Column:
     """A set with a member for each occurrence, so that its Jaccard is the weighted one."""
-    return F.transform(run, lambda x, i: F.xxhash64(x, F.size(F.filter(F.slice(run, 1, i), lambda y: y == x))))
+    return once(run, lambda r: F.transform(r, lambda x, i: F.xxhash64(x, F.size(F.filter(F.slice(r, 1, i), lambda y: y == x)))))
+
+
+def prefix(members: str, threshold: float) -> Column:
+    """The least members of a sorted set, so many that sets at the threshold have one of them in common."""
+    return F.slice(members, 1, (F.size(members) - F.ceil(F.size(members) * threshold - 1e-9) + 1).cast("int"))
 
 
-def items_of(benchmark: DataFrame) -> DataFrame:
-    """item_id, n (words), item_shingles, fingerprint."""
+def items_of(benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """item_id, n (words), item_shingles, item_members, fingerprint, firm (its bits that no window at the threshold can change)."""
     items = benchmark.select("item_id", word_hashes(F.col("text")).alias("hashes")).withColumn("n", F.size("hashes")).filter(F.col("n") >= WORDS)
-    return items.withColumn("item_shingles", shingles("hashes")).withColumn("fingerprint", simhash(F.col("hashes"))).drop("hashes")
+    items = items.withColumn("item_shingles", shingles("hashes")).withColumn("item_members", F.array_sort(weighted(F.col("item_shingles")))).withColumn("votes", votes(F.col("item_shingles")))
+    change = (F.col("n") - WORDS + 1) * 2 * (1 - threshold) / (1 + threshold) + 1e-9
+    firm = once(change, lambda c: bits(F.transform("votes", lambda v: F.abs(v) > c)))
+    return items.select("item_id", "n", "item_shingles", "item_members", simhash(F.col("votes")).alias("fingerprint"), firm.alias("firm"))
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, node (key of the text), item_id, start (word), similarity: for each text and item
     the most similar window that reaches the threshold, the first of equals."""
-    items = items_of(benchmark)
+    items = items_of(benchmark, threshold)
     anchors = items.select("n", F.explode_outer("item_shingles").alias("shingle")).distinct()
     texts = documents.select("doc_id", node(F.col("text")).alias("node"), word_hashes(F.col("text")).alias("hashes"))
     # The outer form: for the inner one Spark tests the array's size first, in a filter that computes the hashes anew for each shingle.
@@ -90,14 +112,13 @@ def leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
 
     windows = hits.withColumn("starts", F.array_distinct(F.flatten(F.transform("ats", starts)))).select("doc_id", "node", "n", "hashes", F.explode("starts").alias("start"))
     windows = windows.select("doc_id", "node", "n", "start", F.slice("hashes", F.col("start") + 1, F.col("n")).alias("words")).withColumn("window", shingles("words"))
-    windows = windows.withColumn("print", simhash(F.col("words"))).select("doc_id", "node", "n", "start", "print", "window")
-    keyed = lambda df, name: df.select("*", F.posexplode_outer(blocks(F.col(name))).alias("block", "value"))
-    near = keyed(windows, "print").join(keyed(items, "fingerprint"), ["n", "block", "value"])
-    near = near.filter(F.bit_count(F.col("print").bitwiseXOR(F.col("fingerprint"))) <= RADIUS)
-    # A pair is found by each block it agrees in; the first such block keeps it.
-    same = F.transform(F.arrays_zip(blocks(F.col("print")).alias("a"), blocks(F.col("fingerprint")).alias("b")), lambda z: z["a"] == z["b"])
-    near = near.filter(F.col("block") == F.array_position(same, True) - 1)
-    a, b = weighted(F.col("window")), weighted(F.col("item_shingles"))
-    scored = near.select("doc_id", "node", "item_id", "start", (F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).alias("similarity"))
+    windows = windows.withColumn("print", simhash(votes(F.col("window")))).withColumn("members", F.array_sort(weighted(F.col("window")))).select("doc_id", "node", "n", "start", "print", "members")
+    keyed = lambda df, name: df.select("*", F.explode_outer(prefix(name, threshold)).alias("member"))
+    near = keyed(windows, "members").join(keyed(items.drop("item_shingles"), "item_members"), ["n", "member"])
+    near = near.filter(F.col("print").bitwiseXOR(F.col("fingerprint")).bitwiseAND(F.col("firm")) == 0)
+    # A pair is found by each such member; the least keeps it.
+    near = near.withColumn("both", F.array_intersect("members", "item_members")).filter(F.col("member") == F.array_min("both"))
+    similarity = F.size("both") / (F.size("members") + F.size("item_members") - F.size("both"))
+    scored = near.select("doc_id", "node", "item_id", "start", similarity.alias("similarity"))
     best = scored.filter(F.col("similarity") >= threshold).groupBy("doc_id", "node", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best"))
     return best.select("doc_id", "node", "item_id", (-F.col("best.back")).cast("long").alias("start"), "best.similarity")

@@ -402,6 +402,20 @@ def test_leaks_whose_parts_change_places_equal_brute_force(spark):
     assert got == want and len(want) == 23
 
 
+def test_leaks_with_an_edge_changed_up_to_the_threshold(spark):
+    """As many words of a passage's first or last as leave 0.8; of 600, each is found."""
+    dice = random.Random(12)
+    items = made_items(dice, [dice.choice((13, 22, 31, 60, 85, 100)) for _ in range(300)])
+    texts = {}
+    for i, item in items.items():
+        w = item.split()
+        k = (len(w) - 4) // 9
+        other = [f"other{dice.randrange(10**6)}" for _ in range(k)]
+        texts[2 * i], texts[2 * i + 1] = " ".join(["before", *other, *w[k:], "after"]), " ".join(["before", *w[:-k], *other, "after"])
+    got, want = leaks_and_brute(spark, texts, items)
+    assert got == want and want.keys() == {(d, d // 2) for d in texts}
+
+
 def test_leak_edges(spark):
     items = spark.createDataFrame([(1, "one two three four five six seven"), (2, None), (3, "too short"), (4, "one two three four five six seven")], "item_id long, text string")
     rows = odd(spark, [*EDGES, (8, "x one two three four five six seven y"), (8, "x one two three four five six seven y"), (None, "one two three four five six seven")])

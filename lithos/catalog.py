@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -10,6 +13,25 @@ from lithos.functions import scalars
 from lithos.sources.tables import table
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that driver and executors share, as spark.checkpoint.dir names it;
+    a session that has none (local, in tests) gets one."""
+    there = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not there:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        there = tempfile.mkdtemp(prefix="lithos-shared-")
+        spark.sparkContext.setCheckpointDir(there)
+    return f"{there.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def collections(spark: SparkSession, d: str) -> DataFrame:
+    """id, internalid, metadataid, metadata of nations, each a collection; those of region 1 are no volumes."""
+    region = F.col("n_regionkey").cast("string")
+    metadata = F.when(F.col("n_regionkey") == 1, F.create_map(F.lit("region"), region)).otherwise(F.create_map(F.lit("volume"), F.trim("n_name"), F.lit("region"), region))
+    return table(spark, d, "nation").select(F.trim("n_name").alias("id"), F.col("n_nationkey").alias("internalid"), F.col("n_regionkey").alias("metadataid"), metadata.alias("metadata"))
+
+
 def contents(spark: SparkSession, d: str) -> DataFrame:
     """collection, segment, sha1, len, content of documents."""
     text = F.coalesce("text", F.lit(""))
@@ -54,8 +76,8 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fork_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """node, block_index, content of conversations: a conversation is a fork, a turn a block."""
-    return table(spark, d, "conversations").select(F.col("conv_id").alias("node"), F.col("turn").alias("block_index"), F.coalesce("text", F.lit("")).alias("content"))
+    """node, fork, block_index, content of conversations: a conversation is a fork, a turn a block."""
+    return table(spark, d, "conversations").select(F.col("conv_id").alias("node"), F.lit("data").alias("fork"), F.col("turn").alias("block_index"), F.coalesce("text", F.lit("")).alias("content"))
 
 
 def event_kinds(log: DataFrame) -> DataFrame:

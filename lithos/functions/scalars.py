@@ -75,10 +75,13 @@ def without_leading(path: Column, n: int) -> Column:
 
 
 def serial_path(data_id: Column, width: int = 9) -> Column:
-    """A file's path from its serial number: three digits a level, 1,000 entries a directory."""
-    digits = F.lpad(data_id.cast("string"), width, "0")
-    levels = [F.substring(digits, i + 1, 3) for i in range(0, width, 3)]
-    return F.concat(F.concat_ws("/", *levels), F.lit(".casseg"))
+    """A file's path from its serial number: three digits a level, 1,000 entries a directory. Numbers
+    of more than `width` digits have more levels."""
+    digits = data_id.cast("string")
+    levels = F.greatest(F.ceil(F.length(digits) / 3), F.lit(-(-width // 3))).cast("int")
+    padded = F.lpad(digits, 3 * levels, "0")
+    parts = F.transform(F.sequence(F.lit(0), levels - 1), lambda i: F.substring(padded, 3 * i + 1, F.lit(3)))
+    return F.concat(F.array_join(parts, "/"), F.lit(".casseg"))
 
 
 def serial_number(file_name: Column) -> Column:
@@ -132,3 +135,13 @@ def map_only(values: Column, keys: Column) -> Column:
 def unreserved(key: Column, reserved: list[str]) -> Column:
     """The key, or an error if it is one that only the system may write."""
     return F.when(key.isin(reserved), F.raise_error(F.concat(F.lit("reserved metadata key: "), key))).otherwise(key)
+
+
+def metadata_keys(values: Column) -> Column:
+    """The keys of a metadata map in order; none for a null map."""
+    return F.array_sort(F.map_keys(F.coalesce(values, F.create_map().cast("map<string,string>"))))
+
+
+def metadata_default(values: Column, key: str, value: str) -> Column:
+    """The map with a default for a key that it lacks."""
+    return F.when(F.map_contains_key(values, key), values).otherwise(map_put(values, key, F.lit(value)))

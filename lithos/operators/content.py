@@ -92,15 +92,24 @@ def chunk(contents: DataFrame, block: int, column: str = "content") -> DataFrame
     return rows.select("segment", F.col("block_index").cast("long").alias("block_index"), F.col(column).substr(F.col("block_index") * block + 1, F.lit(block)).alias("chunk"))
 
 
-def reassemble(blocks: DataFrame, key: str = "node", content: str = "content") -> DataFrame:
-    """key, content, n_blocks: a fork's blocks put together in order."""
-    ordered = F.sort_array(F.collect_list(F.struct("block_index", F.col(content).alias("part"))))
-    whole = blocks.groupBy(key).agg(ordered.alias("parts"))
-    return whole.select(key, F.array_join(F.transform("parts", lambda p: p["part"]), "").alias("content"), F.size("parts").cast("long").alias("n_blocks"))
+def reassemble(blocks: DataFrame, key: str | list[str] = "node", content: str = "content") -> DataFrame:
+    """key, content, n_blocks: a fork's blocks put together in order, characters of strings or bytes
+    of binaries. A null block is empty. The whole is one value (2 GB at most); `in_order` has no such bound."""
+    keys = [key] if isinstance(key, str) else key
+    empty = F.lit("").cast(blocks.schema[content].dataType)
+    rows = blocks.select(*keys, "block_index", F.coalesce(content, empty).alias("_part"))
+    whole = F.expr("listagg(_part) WITHIN GROUP (ORDER BY block_index)")
+    return rows.groupBy(*keys).agg(whole.alias("content"), F.count("*").alias("n_blocks"))
+
+
+def in_order(blocks: DataFrame, key: list[str]) -> DataFrame:
+    """The blocks as an ordered stream: partitions in order of (key, block_index), and so are the rows
+    of each. A large fork is spread over several partitions."""
+    return blocks.repartitionByRange(*key, "block_index").sortWithinPartitions(*key, "block_index")
 
 
 def copy_file(blocks: DataFrame, source: int, target: int) -> DataFrame:
-    """Block rows of a copy: it shares the segments, no content is copied."""
+    """Block rows of a copy, all forks of it: it shares the segments, no content is copied."""
     return blocks.filter(F.col("node") == source).withColumn("node", F.lit(target).cast("long"))
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from lithos.operators import pieces
+
 PAGE = 1000
 
 
@@ -74,8 +76,8 @@ def once_per_transaction(log: DataFrame, keys: list[str], order: str = "eventid"
 
 
 def numbered(log: DataFrame, order: list[str]) -> DataFrame:
-    """Dense ids from 0 within each collection, in commit order."""
-    return log.withColumn("collection_eventid", F.row_number().over(Window.partitionBy("collectionid").orderBy(*order)).cast("long") - 1)
+    """Dense ids from 0 within each collection, in commit order; large collections are numbered in pieces."""
+    return pieces.numbered(log, "collectionid", order, "_place").withColumn("collection_eventid", F.col("_place") - 1).drop("_place")
 
 
 def with_details(log: DataFrame) -> DataFrame:

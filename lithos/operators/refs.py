@@ -56,9 +56,25 @@ def freed(data: DataFrame, references: DataFrame, gone: DataFrame, key: str, ref
     return data.join(before, key, "left_semi").join(after, key, "left_anti")
 
 
-def delete_collection(collections: DataFrame, cas: DataFrame, collection: int) -> tuple[DataFrame, DataFrame]:
-    """Without a collection's row and its references."""
-    return collections.filter(F.col("internalid") != collection), cas.filter(F.col("collectionid") != collection)
+def delete_collection(collections: DataFrame, cas: DataFrame, data: DataFrame, collection: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Without a collection: its references go, its row with its metadata, and the data that nothing
+    refers to any more, by a reference or as a collection's metadata (metadataid)."""
+    rows, left = collections.filter(F.col("internalid") != collection), cas.filter(F.col("collectionid") != collection)
+    own = cas.filter(F.col("collectionid") == collection).select("dataid").union(collections.filter(F.col("internalid") == collection).select("metadataid"))
+    still = left.select("dataid").union(rows.select("metadataid")).dropna()
+    free = own.dropna().distinct().join(still, "dataid", "left_anti")
+    return rows, left, data.join(free, "dataid", "left_anti")
+
+
+def metadata(collections: DataFrame, data: DataFrame) -> DataFrame:
+    """Each collection with the row of data that its metadataid names; those without one are left out."""
+    return collections.join(data.withColumnRenamed("dataid", "metadataid"), "metadataid")
+
+
+def used_again(data: DataFrame, ids: DataFrame) -> DataFrame:
+    """Data with the usage of given ids (dataid) one higher, once for each time an id is given."""
+    more = ids.groupBy("dataid").agg(F.count("*").alias("_more"))
+    return data.join(more, "dataid", "left").withColumn("usage", (F.coalesce("usage", F.lit(0)) + F.coalesce("_more", F.lit(0))).cast("long")).drop("_more")
 
 
 def reconcile(on_disk: DataFrame, index: DataFrame, key: str) -> DataFrame:
@@ -97,3 +113,28 @@ def store_for_writing(stores: DataFrame, need: int, sticky: int | None = None, r
     fits = stores.filter((F.col("status") == "Ready") & (F.col("free") > need + reserve))
     first = [] if sticky is None else [F.when(F.col("storenum") == sticky, 0).otherwise(1)]
     return fits.orderBy(*first, "storenum").limit(1)
+
+
+#: The states of a store.
+STORE_STATES = ("Starting", "Ready", "Closed", "Rebuilding", "NeedsRebuild", "NeedsReloadOfNewObjects", "ReadOnly")
+
+
+def with_status(stores: DataFrame) -> DataFrame:
+    """Stores (opened, closed, rebuilding, read_only: flags; last_on_disk, last_indexed: ids) with
+    their status. Files without an index need a rebuild, files after its last id a reload."""
+    indexed, there = F.col("last_indexed"), F.col("last_on_disk")
+    status = (
+        F.when(F.col("closed"), "Closed")
+        .when(F.col("rebuilding"), "Rebuilding")
+        .when(~F.col("opened"), "Starting")
+        .when(there.isNotNull() & indexed.isNull(), "NeedsRebuild")
+        .when(there > indexed, "NeedsReloadOfNewObjects")
+        .when(F.col("read_only"), "ReadOnly")
+        .otherwise("Ready")
+    )
+    return stores.withColumn("status", status)
+
+
+def available(stores: DataFrame) -> DataFrame:
+    """The stores that can be read; a manager waits until all can."""
+    return stores.filter(F.col("status").isin("Ready", "ReadOnly"))

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lithos.functions import scalars
+from lithos.operators.pieces import cut
 
-DEPTH = 32
+#: Levels of joins that a plan holds before it is cut.
+LEVELS = 16
 
 
 def components(paths: DataFrame, key: str, path: str) -> DataFrame:
@@ -16,18 +18,18 @@ def components(paths: DataFrame, key: str, path: str) -> DataFrame:
     return rows.filter(F.col("name").isNotNull()).select(key, (F.col("depth") + 1).cast("long").alias("depth"), "name")
 
 
-def resolve(paths: DataFrame, edges: DataFrame, root: str = "/", depth: int = DEPTH) -> DataFrame:
+def resolve(paths: DataFrame, edges: DataFrame, root: str = "/") -> DataFrame:
     """path, child: the node of each path, null if there is none. One join for each level that some
-    path has; `depth` bounds them."""
+    path has."""
     state = paths.select("path", scalars.path_parts(F.col("path")).alias("_parts"), F.lit(root).alias("child"))
     deepest = state.agg(F.max(F.size("_parts"))).first()[0] or 0
-    if deepest > depth:
-        raise ValueError(f"a path has {deepest} components; the bound is {depth}")
     for level in range(deepest):
         step = edges.select(F.col("parent").alias("child"), F.col("name").alias("_name"), F.col("child").alias("_next"))
         asked = state.withColumn("_name", F.when(F.size("_parts") > level, F.get("_parts", F.lit(level))))
         found = asked.join(step, ["child", "_name"], "left")
         state = found.select("path", "_parts", F.when(F.col("_name").isNull(), F.col("child")).otherwise(F.col("_next")).alias("child"))
+        if level % LEVELS == LEVELS - 1:
+            state = cut(state)
     return state.select("path", "child")
 
 
@@ -40,27 +42,38 @@ def child_counts(edges: DataFrame) -> DataFrame:
     return edges.groupBy("parent").agg(F.count("*").alias("n_children"))
 
 
-def subtree(edges: DataFrame, roots: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """root, node, depth of everything below roots (node), level by level until none is new.
-
-    Each level's rows are written behind a checkpoint if the session has a folder for it, so that
-    the plan of a level doesn't hold those of all levels before."""
-    level = roots.select(F.col("node").alias("root"), F.col("node"), F.lit(0).cast("long").alias("depth"))
-    out, below = level, edges.select(F.col("parent").alias("node"), F.col("child").alias("next"))
-    for d in range(1, depth + 1):
-        level = level.join(below, "node").select("root", F.col("next").alias("node"), F.lit(d).cast("long").alias("depth")).distinct()
-        if level.sparkSession.sparkContext.getCheckpointDir():
-            level = level.checkpoint()
-        if level.isEmpty():
-            return out
+def subtree(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """root, node, depth of everything below roots (node), level by level until none is new; a node
+    that several ways lead to has the least depth, and a way back to it is no further level."""
+    level = cut(roots.select(F.col("node").alias("root"), F.col("node"), F.lit(0).cast("long").alias("depth")).distinct())
+    out, below, depth = level, edges.select(F.col("parent").alias("node"), F.col("child").alias("next")), 0
+    while not level.isEmpty():
+        depth += 1
+        level = level.join(below, "node").select("root", F.col("next").alias("node"), F.lit(depth).cast("long").alias("depth")).distinct()
+        level = cut(level.join(out.select("root", "node"), ["root", "node"], "left_anti"))
         out = out.unionByName(level)
-    raise ValueError(f"the tree is deeper than {depth}")
-
-
-def lengths_below(edges: DataFrame, lengths: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """node, total: each directory's length with all that is below; lengths: node, length."""
-    roots = edges.select(F.col("parent").alias("node")).distinct()
-    return subtree(edges, roots, depth).join(lengths, "node").groupBy(F.col("root").alias("node")).agg(F.sum("length").alias("total"))
+        if depth % LEVELS == 0:
+            out = cut(out)
+    return out
+
+
+def lengths_below(edges: DataFrame, lengths: DataFrame) -> DataFrame:
+    """node, total: each directory's length with all that is below (each link counts); lengths: node,
+    length. Sums roll up level by level, at most a row for each directory in one. A directory within
+    itself is an error."""
+    ways = edges.select("parent", F.col("child").alias("node"))
+    flow, totals = lengths.select("node", "length"), None
+    directories = ways.select("parent").distinct().count()
+    for level in range(directories + 1):
+        flow = cut(flow.join(ways, "node").groupBy(F.col("parent").alias("node")).agg(F.sum("length").alias("length")))
+        if totals is not None and flow.isEmpty():
+            return totals.groupBy("node").agg(F.sum("length").alias("total"))
+        totals = flow if totals is None else totals.unionByName(flow)
+        if level % LEVELS == LEVELS - 1:
+            totals = cut(totals.groupBy("node").agg(F.sum("length").alias("length")))
+    if directories:
+        raise ValueError("a directory is within itself")
+    return flow.select("node", F.col("length").alias("total"))
 
 
 def created(edges: DataFrame, new: DataFrame, exclusive: bool = True) -> DataFrame:
@@ -95,6 +108,16 @@ def deleted(edges: DataFrame, gone: DataFrame) -> DataFrame:
     return edges.join(gone.select("parent", "name"), ["parent", "name"], "left_anti")
 
 
+def deleted_paths(edges: DataFrame, paths: DataFrame, root: str = "/") -> DataFrame:
+    """Edges without those that paths (path) lead to. Paths are absolute and not the root; a path
+    that leads nowhere changes nothing."""
+    bad = ~F.col("path").startswith("/") | (F.size(scalars.path_parts(F.col("path"))) == 0)
+    asked = paths.select(F.when(bad, F.raise_error(F.concat(F.lit("can't delete "), F.col("path")))).otherwise(F.col("path")).alias("_path"))
+    asked = asked.select(scalars.parent_path(F.col("_path")).alias("path"), scalars.leaf_name(F.col("_path")).alias("name"))
+    parents = resolve(asked.select("path").distinct(), edges, root).filter(F.col("child").isNotNull())
+    return deleted(edges, asked.join(parents, "path").select(F.col("child").alias("parent"), "name").distinct())
+
+
 def moved(edges: DataFrame, parent: str, name: str, to_parent: str, to_name: str) -> DataFrame:
     """One edge moved: same child, other place, in one step."""
     if not edges.filter((F.col("parent") == to_parent) & (F.col("name") == to_name)).isEmpty():

@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithos import catalog
+from lithos import catalog, edit_queries  # noqa: F401  (the latter registers its own)
 from lithos.functions import scalars
 from lithos.operators import content, events, forks, refs, tree, versions
+from lithos.registry import oracle_sql, queries, query  # noqa: F401
 from lithos.sources import tables
 from lithos.sources.tables import table
 from lithos.streaming import replicate
 
-Query = Callable[[SparkSession, str], DataFrame]
-_all: dict[str, tuple[Query, str | None]] = {}
-
 CONTENTS = "(SELECT lang AS collection, doc_id AS segment, sha1(coalesce(text, '')) AS sha1, strlen(coalesce(text, ''))::BIGINT AS len, coalesce(text, '') AS content FROM documents)"
 VERSIONS = "(SELECT o_custkey AS segment, o_orderkey AS versionid, epoch_us(o_orderdate) AS versiontime, (row_number() OVER (PARTITION BY o_custkey, o_orderdate ORDER BY o_orderkey) - 1)::INT AS uniquifier, o_totalprice AS payload FROM orders)"
 LOG = "(SELECT event_id AS eventid, user_id AS collectionid, CASE event_type WHEN 'purchase' THEN 'T' WHEN 'signup' THEN 'C' WHEN 'error' THEN 'R' ELSE 'M' END AS eventtype, epoch_us(ts) AS timestamp, event_id // 10 AS transactionid, event_type AS source_type, value, props FROM events)"
@@ -26,22 +22,6 @@ T97, T98 = 852076800000000, 883612800000000
 E_MID = 5000
 
 
-def query(sql: str | None):
-    def keep(f: Query) -> Query:
-        _all[f.__name__] = f, sql
-        return f
-
-    return keep
-
-
-def queries() -> dict[str, Query]:
-    return {name: f for name, (f, _) in _all.items()}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _all.items() if sql}
-
-
 # Content
 
 
@@ -104,12 +84,12 @@ def char_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT conv_id AS node, sha1(string_agg(coalesce(text, ''), '' ORDER BY turn)) AS sha1, count(*) AS n_blocks FROM conversations GROUP BY 1")
 def reassemble(spark: SparkSession, d: str) -> DataFrame:
-    return content.reassemble(catalog.fork_blocks(spark, d)).select("node", F.sha1("content").alias("sha1"), "n_blocks")
+    return content.reassemble(catalog.fork_blocks(spark, d), "node").select("node", F.sha1("content").alias("sha1"), "n_blocks")
 
 
 @query("SELECT conv_id AS node, sum(strlen(coalesce(text, '')))::BIGINT AS length FROM conversations GROUP BY 1")
 def total_length(spark: SparkSession, d: str) -> DataFrame:
-    return forks.length(catalog.fork_blocks(spark, d))
+    return forks.total_length(catalog.fork_blocks(spark, d))
 
 
 @query(f"SELECT collection, count(*) AS n_segments, sum((len // 65536 + 1) * 65536)::BIGINT AS bytes_used FROM {CONTENTS} GROUP BY 1")
@@ -123,6 +103,24 @@ def serial_paths(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("serial", scalars.serial_number(F.col("path")))
 
 
+@query("""SELECT doc_id, CASE WHEN n >= 1000000000000 THEN substr(d, 1, 3) || '/' ELSE '' END || CASE WHEN n >= 1000000000 THEN substr(d, 4, 3) || '/' ELSE '' END || substr(d, 7, 3) || '/' || substr(d, 10, 3) || '/' || substr(d, 13, 3) || '.casseg' AS path, n AS serial
+FROM (SELECT doc_id, n, lpad(n::VARCHAR, 15, '0') AS d FROM (SELECT doc_id, doc_id::BIGINT * 123456789012 // CASE doc_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 1000 WHEN 2 THEN 1000000 ELSE 1000000000 END AS n FROM (SELECT doc_id FROM documents)) t)""")
+def serial_paths_wide(spark: SparkSession, d: str) -> DataFrame:
+    """Serial numbers of up to fifteen digits."""
+    parts = F.when(F.col("doc_id") % 4 == 0, 1).when(F.col("doc_id") % 4 == 1, 1000).when(F.col("doc_id") % 4 == 2, 1_000_000).otherwise(1_000_000_000)
+    rows = table(spark, d, "documents").select("doc_id", F.expr("doc_id * 123456789012L").alias("n"), parts.cast("long").alias("by"))
+    rows = rows.select("doc_id", F.expr("n div by").alias("n"))
+    return rows.select("doc_id", scalars.serial_path(F.col("n")).alias("path")).withColumn("serial", scalars.serial_number(F.col("path")))
+
+
+@query(f"SELECT segment AS node, sha1, (len + 999) // 1000 AS n_blocks FROM {CONTENTS} WHERE len > 0")
+def reassemble_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of 1,000 bytes, which cut characters apart, put together again."""
+    rows = catalog.contents(spark, d).withColumn("content", F.encode("content", "UTF-8"))
+    blocks = content.chunk(rows, 1000).withColumnsRenamed({"segment": "node", "chunk": "content"})
+    return content.reassemble(blocks).select("node", F.sha1("content").alias("sha1"), "n_blocks")
+
+
 # Versions
 
 
@@ -140,15 +138,33 @@ def asof_nearest_component(spark: SparkSession, d: str) -> DataFrame:
     return versions.nearest(rows, targets, mode="component")
 
 
-@query(f"SELECT segment, versiontime, uniquifier, versionid, payload FROM {VERSIONS} WHERE versionid % 7 = 0")
+@query(f"SELECT segment, versiontime, uniquifier, versionid, payload FROM {VERSIONS}")
 def exact_version(spark: SparkSession, d: str) -> DataFrame:
     rows = catalog.order_versions(spark, d)
-    targets = rows.filter("versionid % 7 = 0").select("segment", "versiontime", "uniquifier")
+    targets = rows.select("segment", "versiontime", "uniquifier")
     named, data = rows.select("versionid", "versiontime", "uniquifier"), rows.select(F.col("versionid").alias("dataid"), "payload")
     found = versions.exact(rows.select("segment", "versionid", F.col("versionid").alias("dataid")), named, data, targets)
     return found.select("segment", "versiontime", "uniquifier", "versionid", "payload")
 
 
+@query(f"WITH v AS (SELECT * FROM {VERSIONS}), t AS (SELECT segment, versiontime - 1 AS at_time FROM v) SELECT t.segment, at_time, 1 AS at_uniquifier, v.versiontime, v.uniquifier, v.versionid, v.payload FROM (SELECT DISTINCT segment, at_time FROM t) t ASOF JOIN (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY segment, versiontime ORDER BY uniquifier DESC) = 1) v ON v.segment = t.segment AND t.at_time >= v.versiontime")
+def asof_before_each(spark: SparkSession, d: str) -> DataFrame:
+    """For each version the one its segment had just before: as many moments as versions."""
+    rows = catalog.order_versions(spark, d)
+    targets = rows.select("segment", (F.col("versiontime") - 1).alias("at_time"), F.lit(1).alias("at_uniquifier")).distinct()
+    return versions.nearest_each(rows, targets)
+
+
+@query(f"SELECT segment, max(versiontime) AS last_modified FROM {VERSIONS} GROUP BY 1")
+def last_modified(spark: SparkSession, d: str) -> DataFrame:
+    return versions.last_modified(catalog.order_versions(spark, d))
+
+
+@query(f"SELECT segment, versiontime, uniquifier, versionid, payload FROM {VERSIONS} WHERE versiontime < {T97} OR versiontime = {T97} AND uniquifier <= 0 QUALIFY row_number() OVER (PARTITION BY segment ORDER BY versiontime DESC, uniquifier DESC) = 1")
+def default_version(spark: SparkSession, d: str) -> DataFrame:
+    return versions.as_of(catalog.order_versions(spark, d), (T97, 0))
+
+
 @query(f"SELECT segment, versionid, versiontime, uniquifier, (row_number() OVER (PARTITION BY segment ORDER BY versiontime, uniquifier))::INT AS ordinal FROM {VERSIONS}")
 def version_history(spark: SparkSession, d: str) -> DataFrame:
     return versions.history(catalog.order_versions(spark, d).drop("payload"))
@@ -377,11 +393,10 @@ def server_numbers(spark: SparkSession, d: str) -> DataFrame:
     return tables.server_numbers(known, known.select("serverid").union(region.select(F.trim("r_name"))))
 
 
-@query("SELECT l_orderkey AS node, 'data' AS fork, l_linenumber::BIGINT AS block_index, sha1(p_name) AS sha1, strlen(p_name)::BIGINT AS len FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey <= 500")
+@query("SELECT l_orderkey AS node, 'data' AS fork, l_linenumber::BIGINT AS block_index, sha1(p_name) AS sha1, strlen(p_name)::BIGINT AS len FROM lineitem JOIN part ON p_partkey = l_partkey")
 def fork_content_ids(spark: SparkSession, d: str) -> DataFrame:
     """A line is a block of its order's fork, a part its segment."""
-    lines = table(spark, d, "lineitem").filter("l_orderkey <= 500")
-    blocks = lines.select(F.col("l_orderkey").alias("node"), F.lit("data").alias("fork"), F.col("l_linenumber").cast("long").alias("block_index"), F.col("l_partkey").alias("segment"))
+    blocks = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("node"), F.lit("data").alias("fork"), F.col("l_linenumber").cast("long").alias("block_index"), F.col("l_partkey").alias("segment"))
     parts = table(spark, d, "part").select(F.col("p_partkey").alias("segment"), F.sha1("p_name").alias("sha1"), F.octet_length("p_name").cast("long").alias("len"))
     return content.fork_content_ids(blocks, parts)
 
@@ -423,11 +438,11 @@ def hash_buckets(spark: SparkSession, d: str) -> DataFrame:
     return catalog.contents(spark, d).select("segment", scalars.hash_bucket(F.col("sha1"), 8).alias("bucket"))
 
 
-@query(f"SELECT segment, collection FROM {CONTENTS} WHERE collection = 'en' AND (sha1, len) IN (SELECT (sha1, len) FROM {CONTENTS} WHERE segment % 50 = 0)")
+@query(f"SELECT segment, collection FROM {CONTENTS} WHERE collection = 'en' AND (sha1, len) IN (SELECT (sha1, len) FROM {CONTENTS} WHERE collection <> 'en')")
 def retrieve_by_content_id(spark: SparkSession, d: str) -> DataFrame:
-    """All segments of a collection with the contents of every fiftieth segment."""
+    """All segments of a collection with contents that others have."""
     rows = catalog.contents(spark, d).drop("content")
-    return content.references(rows.filter("collection = 'en'"), rows.filter("segment % 50 = 0")).select("segment", "collection")
+    return content.references(rows.filter("collection = 'en'"), rows.filter("collection != 'en'")).select("segment", "collection")
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")

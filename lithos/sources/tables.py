@@ -64,3 +64,47 @@ def new_stores(configured: DataFrame, known: DataFrame) -> DataFrame:
 def volumes(collections: DataFrame, key: str = "volume") -> DataFrame:
     """Collections whose metadata map holds a volume, others are none."""
     return collections.filter(F.map_contains_key("metadata", key))
+
+
+def write_segment_files(contents: DataFrame, directory: str, replace: bool = False) -> DataFrame:
+    """Writes contents (dataid, content) as segment files below a directory, each by its task, and
+    returns dataid, path, status: written, replaced or unchanged. Other bytes under a taken id are an
+    error unless `replace`; the same bytes never are, so that a task may be tried again."""
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, top = fs.FileSystem.from_uri(directory) if "://" in directory else (fs.LocalFileSystem(), directory)
+        for batch in batches:
+            said = []
+            for path, data in zip(batch["path"].to_pylist(), batch["content"].to_pylist(), strict=True):
+                full, status = f"{top}/{path}", "written"
+                if store.get_file_info(full).type != fs.FileType.NotFound:
+                    with store.open_input_stream(full) as f:
+                        status = "unchanged" if f.readall() == data else "replaced"
+                    if status == "replaced" and not replace:
+                        raise FileExistsError(f"{path} holds another segment")
+                if status != "unchanged":
+                    store.create_dir(full.rpartition("/")[0], recursive=True)
+                    with store.open_output_stream(f"{full}.new") as f:
+                        f.write(data)
+                    store.move(f"{full}.new", full)
+                said.append(status)
+            yield pa.RecordBatch.from_arrays([batch["dataid"], batch["path"], pa.array(said, pa.string())], ["dataid", "path", "status"])
+
+    rows = contents.select(F.col("dataid").cast("long").alias("dataid"), scalars.serial_path(F.col("dataid")).alias("path"), F.coalesce("content", F.unhex(F.lit(""))).alias("content"))
+    return rows.mapInArrow(write, "dataid long, path string, status string")
+
+
+def new_peers(connected: DataFrame, asked: DataFrame) -> DataFrame:
+    """Peers (serverid) that the table lacks, numbered after its last; to be appended, and none the
+    second time. Peers are few: servers, not data."""
+    from pyspark.sql import Window
+
+    new = asked.select("serverid").distinct().join(connected.select("serverid"), "serverid", "left_anti")
+    last = connected.agg(F.coalesce(F.max("servernum"), F.lit(0)).alias("_last"))  # one row
+    place = F.row_number().over(Window.orderBy("serverid"))
+    return new.crossJoin(F.broadcast(last)).select((F.col("_last") + place).cast("int").alias("servernum"), "serverid")

@@ -1,18 +1,24 @@
-"""Replication of an event log, as a batch and as a stream."""
+"""Replication of an event log and of what its transactions did, as a batch and as a stream."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lithos.functions import scalars
+from lithos.plans import edits
+from lithos.plans.commit import Dataset
+
 
 def pending(source: DataFrame, target: DataFrame, key: list[str], cursor: str = "eventid") -> DataFrame:
-    """Source events that the target lacks. Its last id bounds what is read (events before it that
-    are there already are skipped), and an anti-join keeps a repeated delivery from counting twice."""
-    return source.join(target.select(*key), key, "left_anti")
+    """Source events that the target lacks: an anti-join keeps a repeated delivery from counting twice.
+    Of the target only the range of the source's ids is read (a filter that reaches the scan)."""
+    low, high = source.agg(F.min(cursor), F.max(cursor)).first()
+    near = target.filter(F.lit(False)) if low is None else target.filter(F.col(cursor).between(low, high))
+    return source.join(near.select(*key), key, "left_anti")
 
 
 def after_cursor(source: DataFrame, target: DataFrame, collection: str = "collectionid", cursor: str = "eventid") -> DataFrame:
@@ -28,6 +34,58 @@ def applied(events: DataFrame, apply_releases: bool = False) -> DataFrame:
     return events.filter(F.col("eventtype").isin(kinds))
 
 
+def created_segments(events: DataFrame, cas: DataFrame, data: DataFrame) -> DataFrame:
+    """The segments that events (collectionid, segment, segmentversion) of kind C made, each read at
+    exactly the event's version: collectionid, segment, segmentversion, sha1, len, content."""
+    made = events.filter(F.col("eventtype") == "C").select("collectionid", "segment", "segmentversion").distinct()
+    return made.join(cas, edits.KEYS["cas"]).join(data, edits.ID).select(*edits.KEYS["cas"], *edits.ID, "content")
+
+
+def apply_transactions(source: Dataset, target: Dataset, servernum: int, now_millis: int, apply_releases: bool = False) -> int | None:
+    """Applies what a source committed since the target's last replicated event, in one commit of the
+    target: new collections with their metadata, created segments at their exact versions, the metadata
+    of collections that say so, and the events under their own ids. Returns the target's version, None
+    if there was nothing. Running it again changes nothing.
+
+    Tables of the source: collections (collectionid, metadata), events (collectionid, eventid,
+    transactionid, eventtype, segment, segmentversion), cas, data. The target has replicated_events
+    (servernum and the columns of events) besides."""
+    log, done = source.table("events"), target.table("replicated_events")
+    if log is None:
+        return None
+    committed = log.filter(F.col("eventtype") == "T").select("collectionid", "transactionid").distinct()
+    log = log.join(committed, ["collectionid", "transactionid"], "left_semi")
+    if done is not None:
+        log = after_cursor(log, done.filter(F.col("servernum") == servernum))
+    log = applied(log, apply_releases)
+    if log.isEmpty():
+        return None
+    tx = target.begin(now_millis)
+    collections, there = source.table("collections"), target.table("collections")
+    changed = collections.join(log.select("collectionid").distinct(), "collectionid", "left_semi")
+    if there is None:
+        tx.append("collections", changed)
+    else:
+        copied = log.filter(F.col("eventtype") == "M").select("collectionid").distinct()
+        tx.append("collections", changed.join(there.select("collectionid"), "collectionid", "left_anti"))
+        tx.replace("collections", changed.join(copied, "collectionid", "left_semi").join(there.select("collectionid"), "collectionid", "left_semi"))
+    edits.store(tx, created_segments(log, source.table("cas"), source.table("data")))
+    if apply_releases:
+        released = log.filter(F.col("eventtype") == "R").select(*edits.KEYS["cas"])
+        if target.table("cas") is not None:
+            edits.release(tx, released)
+    tx.append("replicated_events", log.withColumn("servernum", F.lit(servernum)))
+    return tx.commit()
+
+
+def new_collections(server_events: DataFrame, collections: DataFrame, known: DataFrame, default_server: str | None = None, key: str = "replication-server") -> DataFrame:
+    """Collections (collectionid, metadata) that server events of kind C made, that none of kind D
+    destroyed later and that a target doesn't know yet; with a default server for those that name none."""
+    last = server_events.groupBy("collectionid").agg(F.max_by("eventtype", "eventid").alias("_last")).filter("_last = 'C'")
+    new = collections.join(last, "collectionid", "left_semi").join(known.select("collectionid"), "collectionid", "left_anti")
+    return new if default_server is None else new.withColumn("metadata", scalars.metadata_default(F.col("metadata"), key, default_server))
+
+
 def replicate_batch(source: DataFrame, target_path: str, key: list[str] | None = None) -> int:
     """Appends what the target lacks; the number of rows appended. Running it twice changes nothing."""
     spark, key = source.sparkSession, key or ["eventid"]
@@ -40,9 +98,9 @@ def replicate_batch(source: DataFrame, target_path: str, key: list[str] | None =
     new = source.dropDuplicates(key)
     if target is not None:
         new = pending(new, target, key)
-    before = 0 if target is None else target.count()
-    new.write.mode("append").parquet(target_path)
-    return spark.read.parquet(target_path).count() - before
+    seen = Observation()
+    new.observe(seen, F.count("*").alias("n")).write.mode("append").parquet(target_path)
+    return seen.get["n"]
 
 
 def replicate_stream(spark: SparkSession, source_path: str, schema: str, target_path: str, checkpoint: str, *, key: list[str] | None = None, files_per_batch: int = 16, on_batch: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:

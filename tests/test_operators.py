@@ -6,15 +6,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from lithos.functions import scalars
-from lithos.operators import content, forks, refs, tree, versions
+from lithos.operators import content, events, forks, pieces, refs, tree, versions
+from lithos.plans import edits
 from lithos.plans.commit import Dataset
 from lithos.sources import tables
 from lithos.streaming import replicate
 
 
 def fork(spark, nodes, block=4):
-    rows = [(n, i // block, data[i : i + block]) for n, data in nodes.items() for i in range(0, len(data), block)]
-    return spark.createDataFrame(rows, "node long, block_index long, content binary")
+    rows = [(n, "data", i // block, data[i : i + block]) for n, data in nodes.items() for i in range(0, len(data), block)]
+    return spark.createDataFrame(rows, "node long, fork string, block_index long, content binary")
 
 
 def whole(blocks):
@@ -28,7 +29,7 @@ def whole(blocks):
 def test_fork_write(spark, offset, data):
     before = b"0123456789"
     blocks = fork(spark, {1: before, 2: b"other"})
-    patch = spark.createDataFrame([(1, offset, data)], "node long, offset long, data binary")
+    patch = spark.createDataFrame([(1, "data", offset, data)], "node long, fork string, offset long, data binary")
     got = whole(forks.write(blocks, patch, 4))
     want = bytearray(before.ljust(offset if data else 0, b"\0"))
     if data:
@@ -39,14 +40,14 @@ def test_fork_write(spark, offset, data):
 
 def test_fork_read_append_extend_truncate(spark):
     blocks = fork(spark, {1: b"0123456789"})
-    read = lambda o, n: b"".join(bytes(r["data"]) for r in forks.read(blocks, 1, o, n, 4).collect())
+    read = lambda o, n: b"".join(bytes(r["data"]) for r in forks.read(blocks, 1, "data", o, n, 4).collect())
     assert (read(2, 5), read(8, 50), read(10, 5)) == (b"23456", b"89", b"")
-    more = spark.createDataFrame([(1, b"abc"), (3, b"new")], "node long, data binary")
+    more = spark.createDataFrame([(1, "data", b"abc"), (3, "data", b"new")], "node long, fork string, data binary")
     assert whole(forks.append(blocks, more, 4)) == {1: b"0123456789abc", 3: b"new"}
-    longer = spark.createDataFrame([(1, 14), (4, 5)], "node long, length long")
+    longer = spark.createDataFrame([(1, "data", 14), (4, "data", 5)], "node long, fork string, length long")
     assert whole(forks.extend(blocks, longer, 4)) == {1: b"0123456789\0\0\0\0", 4: b"\0" * 5}
-    assert whole(forks.truncate(blocks, 1, 5, 4)) == {1: b"01234"}
-    assert whole(forks.truncate(blocks, 1, 0, 4)) == {}
+    assert whole(forks.truncate(blocks, 1, "data", 5, 4)) == {1: b"01234"}
+    assert whole(forks.truncate(blocks, 1, "data", 0, 4)) == {}
 
 
 def test_chunks_give_the_content_back(spark):
@@ -86,7 +87,7 @@ def test_commits(spark, tmp_path):
     second.append("t", rows)
     second.rollback()
     # A batch that wrote its rows and crashed before its record isn't seen.
-    rows.withColumn("versionid", F.lit(99).cast("long")).write.mode("append").parquet(str(tmp_path / "d" / "t"))
+    rows.withColumns({"_batch": F.lit("lost"), "_version": F.lit(99).cast("long")}).write.mode("append").parquet(str(tmp_path / "d" / "t"))
     assert data.table("t").count() == 1
     third = data.begin(2000)
     third.append("t", rows)
@@ -153,3 +154,195 @@ def test_snapshots(spark):
     more = versions.with_snapshot(have, spark.createDataFrame([(1, "a", 30, 0)], schema))
     assert [r["name"] for r in versions.list_snapshots(more, 1).collect()] == ["b", "a"]
     assert versions.release_snapshot(more, 1, "a").count() == 1
+
+
+# Forks by name, bytes, ids
+
+
+def test_forks_of_a_node_stay_apart(spark):
+    blocks = fork(spark, {1: b"0123456789"}).unionByName(fork(spark, {1: b"abcdef"}).withColumn("fork", F.lit("resource")))
+    patch = spark.createDataFrame([(1, "resource", 2, b"XY")], "node long, fork string, offset long, data binary")
+    after = forks.write(blocks, patch, 4)
+    assert whole(after.filter("fork = 'data'")) == {1: b"0123456789"} and whole(after.filter("fork = 'resource'")) == {1: b"abXYef"}
+    assert {(r["fork"], r["length"]) for r in forks.length(after).collect()} == {("data", 10), ("resource", 6)}
+    have = blocks.select("node", "fork").distinct()
+    assert [r["fork"] for r in forks.names(have, 1).collect()] == ["data", "resource"]
+    assert forks.got(have, spark.createDataFrame([(1, "data"), (2, "x")], "node long, fork string")).count() == 3
+    with pytest.raises(Exception, match="no fork"):
+        forks.got(have, spark.createDataFrame([(2, "x")], "node long, fork string"), create=False).collect()
+    left, kept = forks.dropped(have, blocks, spark.createDataFrame([(1, "data")], "node long, fork string"))
+    assert [r["fork"] for r in left.collect()] == ["resource"] and whole(kept) == {1: b"abcdef"}
+
+
+def test_bytes_come_back(spark):
+    odd = bytes(range(256)) * 3 + b"\xff\xfe\x00\x80"
+    df = spark.createDataFrame([(1, odd), (2, b"\xff")], "segment long, content binary")
+    blocks = content.chunk(df, 7).withColumnsRenamed({"segment": "node", "chunk": "content"})
+    assert {r["node"]: bytes(r["content"]) for r in content.reassemble(blocks.repartition(5)).collect()} == {1: odd, 2: b"\xff"}
+    stream = content.in_order(blocks, ["node"]).collect()
+    assert b"".join(bytes(r["content"]) for r in stream if r["node"] == 1) == odd
+
+
+def test_serial_paths_beyond_nine_digits(spark):
+    ids = [7, 999_999_999, 1_234_567_890, 1_234_567_899, 10**15 + 3]
+    rows = spark.createDataFrame([(i,) for i in ids], "id long").withColumn("path", scalars.serial_path(F.col("id"))).withColumn("back", scalars.serial_number(F.col("path"))).collect()
+    assert [r["path"] for r in rows] == ["000/000/007.casseg", "999/999/999.casseg", "001/234/567/890.casseg", "001/234/567/899.casseg", "001/000/000/000/000/003.casseg"]
+    assert [r["back"] for r in rows] == ids
+
+
+def test_segment_files_are_written_once(spark, tmp_path):
+    rows = spark.createDataFrame([(1, b"one"), (1_234_567_890, b"two")], "dataid long, content binary")
+    write = lambda df, **more: {r["dataid"]: r["status"] for r in tables.write_segment_files(df, str(tmp_path), **more).collect()}
+    assert write(rows) == {1: "written", 1_234_567_890: "written"} and write(rows) == {1: "unchanged", 1_234_567_890: "unchanged"}
+    assert {r["dataid"]: bytes(r["content"]) for r in tables.segment_files(spark, str(tmp_path)).collect()} == {1: b"one", 1_234_567_890: b"two"}
+    other = spark.createDataFrame([(1, b"other")], "dataid long, content binary")
+    with pytest.raises(Exception, match="holds another segment"):
+        write(other)
+    assert write(other, replace=True) == {1: "replaced"} and (tmp_path / "000/000/001.casseg").read_bytes() == b"other"
+
+
+# Keys with many rows, deep trees
+
+
+def test_large_keys_are_numbered_in_pieces(spark):
+    log = spark.range(500).select(F.col("id").alias("eventid"), F.when(F.col("id") % 5 == 0, F.col("id") % 3).otherwise(None).alias("collectionid"), (F.col("id") * 7 % 90).alias("timestamp"))
+    one, split = (pieces.numbered(log, "collectionid", ["timestamp", "eventid"], "n", large).orderBy("eventid").collect() for large in (10_000, 20))
+    assert one == split and split[0]["n"] is not None
+    assert events.numbered(log, ["timestamp", "eventid"]).agg(F.min("collection_eventid")).first()[0] == 0
+
+
+def test_nearest_of_many_targets(spark):
+    rows = spark.range(300).select((F.col("id") % 3).alias("segment"), (F.col("id") * 11 % 100).alias("versiontime"), (F.col("id") % 2).cast("int").alias("uniquifier"), F.col("id").alias("versionid")).dropDuplicates(["segment", "versiontime", "uniquifier"])
+    targets = spark.range(60).select((F.col("id") % 4).alias("segment"), (F.col("id") * 5 - 20).alias("at_time"), F.lit(0).alias("at_uniquifier")).distinct()
+    want = {tuple(r) for r in versions.nearest(rows, targets).collect()}
+    for large in (10_000, 10):
+        assert {tuple(r) for r in versions.nearest_each(rows, targets, large).collect()} == want
+    assert want
+
+
+def test_exact_makes_no_more_rows_than_it_reads(spark):
+    """Stamps that many segments share."""
+    rows = spark.range(200).select(F.col("id").alias("segment"), F.col("id").alias("versionid"), F.col("id").alias("dataid"))
+    named = spark.range(200).select(F.col("id").alias("versionid"), F.lit(5).alias("versiontime"), F.lit(0).alias("uniquifier"))
+    targets = spark.range(0, 200, 2).select(F.col("id").alias("segment"), F.lit(5).alias("versiontime"), F.lit(0).alias("uniquifier"))
+    got = versions.exact(rows, named, spark.range(200).withColumnRenamed("id", "dataid"), targets)
+    assert sorted(r["segment"] for r in got.collect()) == list(range(0, 200, 2))
+
+
+def test_deep_trees_and_cycles(spark):
+    n = 45
+    edges = spark.createDataFrame([("/" if i == 0 else f"d{i - 1}", "x", f"d{i}") for i in range(n)], "parent string, name string, child string")
+    path = "/x" * n
+    assert tree.resolve(spark.createDataFrame([(path,)], "path string"), edges).first()["child"] == f"d{n - 1}"
+    below = tree.subtree(edges, spark.createDataFrame([("/",)], "node string"))
+    assert below.count() == n + 1 and below.agg(F.max("depth")).first()[0] == n
+    sizes = spark.createDataFrame([(f"d{n - 1}", 5), ("d3", 2)], "node string, length long")
+    totals = {r["node"]: r["total"] for r in tree.lengths_below(edges, sizes).collect()}
+    assert totals["/"] == 7 and totals["d3"] == 5 and totals[f"d{n - 2}"] == 5
+    loop = spark.createDataFrame([("a", "x", "b"), ("b", "y", "a")], edges.schema)
+    assert tree.subtree(loop, spark.createDataFrame([("a",)], "node string")).count() == 2
+    with pytest.raises(ValueError, match="within itself"):
+        tree.lengths_below(loop, spark.createDataFrame([("b", 1)], "node string, length long"))
+    assert tree.lengths_below(edges.limit(0), sizes).count() == 0
+
+
+def test_changes_with_nulls(spark):
+    a = spark.createDataFrame([(1, None), (2, "x"), (3, "y"), (4, None)], "k long, v string")
+    b = spark.createDataFrame([(1, "z"), (2, None), (4, None), (5, None)], "k long, v string")
+    assert {(r["k"], r["change"]) for r in versions.changes(a, b, ["k"], "v").collect()} == {(1, "modified"), (2, "modified"), (3, "deleted"), (5, "added")}
+
+
+# Edits of a dataset
+
+
+def stored(spark, path):
+    data = Dataset(spark, path, edits.KEYS)
+    rows = spark.createDataFrame([("a", 1, 1, "s1", 2, b"v1"), ("a", 2, 1, "s2", 2, b"v2"), ("b", 1, 1, "s1", 2, b"v1"), ("b", 3, 1, "s3", 2, b"v3")], "collectionid string, segment long, segmentversion int, sha1 string, len long, content binary")
+    tx = data.begin(1000)
+    tx.append("collections", spark.createDataFrame([("a", {"volume": "A"}), ("b", {})], "collectionid string, metadata map<string,string>"))
+    edits.store(tx, rows)
+    tx.commit()
+    return data, rows
+
+
+def test_edits_are_seen_after_their_commit(spark, tmp_path):
+    data, rows = stored(spark, str(tmp_path / "d"))
+    contents = lambda: {r["sha1"] for r in data.table("data").collect()}
+    tx = data.begin(2000)
+    edits.store(tx, rows)
+    assert tx.view("cas").count() == 4  # idempotent
+    tx.commit()
+    assert data.table("cas").count() == 4 and data.table("data").count() == 3
+    tx = data.begin(3000)
+    edits.release(tx, spark.createDataFrame([("a", 1), ("a", 2)], "collectionid string, segment long"))
+    assert tx.view("cas").count() == 2 and data.table("cas").count() == 4
+    tx.rollback()
+    assert tx.view("cas").count() == 4
+    tx = data.begin(3000)
+    edits.release(tx, spark.createDataFrame([("a", 1), ("a", 2)], "collectionid string, segment long"))
+    tx.commit()
+    assert data.table("cas").count() == 2 and contents() == {"s1", "s3"}  # s1 is shared
+    assert data.table("cas", upto=1).count() == 4  # what a reader of an older version sees
+    tx = data.begin(4000)
+    edits.store(tx, rows.filter("sha1 = 's2'"))  # stored anew after its release
+    edits.set_metadata(tx, "b", "k", "v")
+    tx.commit()
+    assert contents() == {"s1", "s2", "s3"}
+    tx = data.begin(5000)
+    edits.set_metadata(tx, "b", "k", None)
+    edits.delete_collection(tx, spark.createDataFrame([("a",)], "collectionid string"))
+    tx.commit()
+    assert [(r["collectionid"], r["metadata"]) for r in data.table("collections").collect()] == [("b", {})] and contents() == {"s1", "s3"}
+
+
+def test_the_first_of_two_commits_wins(spark, tmp_path):
+    data = Dataset(spark, str(tmp_path / "d"))
+    rows = spark.createDataFrame([(1,)], "id long")
+    a, b = data.begin(1000), data.begin(1000)
+    a.append("t", rows)
+    b.append("t", rows)
+    a.commit()
+    with pytest.raises(RuntimeError, match="another transaction"):
+        b.commit()
+    assert data.table("t").count() == 1
+
+
+def test_moves_and_deletions_by_path(spark, tmp_path):
+    data = Dataset(spark, str(tmp_path / "d"), edits.KEYS)
+    tx = data.begin(1)
+    tx.append("edges", spark.createDataFrame([("/", "a", "1"), ("1", "b", "2"), ("1", "c", "3"), ("/", "d", "4")], "parent string, name string, child string"))
+    tx.commit()
+    tx = data.begin(2)
+    edits.move(tx, "1", "b", "4", "e")
+    tx.commit()
+    tx = data.begin(3)
+    edits.delete_paths(tx, spark.createDataFrame([("/a/c",), ("/no/where",)], "path string"))
+    tx.commit()
+    assert {tuple(r) for r in data.table("edges").select("parent", "name", "child").collect()} == {("/", "a", "1"), ("/", "d", "4"), ("4", "e", "2")}
+    for path in ("/", "a/b"):
+        with pytest.raises(Exception, match="can't delete"):
+            edits.delete_paths(data.begin(4), spark.createDataFrame([(path,)], "path string"))
+    with pytest.raises(ValueError, match="isn't empty"):
+        edits.delete_paths(data.begin(4), spark.createDataFrame([("/d",)], "path string"))
+
+
+def test_transactions_are_applied_once(spark, tmp_path):
+    source, _ = stored(spark, str(tmp_path / "s"))
+    target = Dataset(spark, str(tmp_path / "t"), edits.KEYS)
+    schema = "collectionid string, eventid long, transactionid long, eventtype string, segment long, segmentversion int"
+    tx = source.begin(2000)
+    tx.append("events", spark.createDataFrame([("a", 0, 0, "C", 1, 1), ("a", 1, 0, "T", None, None), ("a", 2, 1, "C", 2, 1), ("b", 0, 0, "C", 1, 1), ("b", 1, 0, "T", None, None)], schema))
+    tx.commit()
+    assert replicate.apply_transactions(source, target, 7, 10) == 1 and replicate.apply_transactions(source, target, 7, 10) is None
+    # Transaction 1 of `a` isn't committed yet.
+    assert {(r["collectionid"], r["segment"]) for r in target.table("cas").collect()} == {("a", 1), ("b", 1)}
+    assert [bytes(r["content"]) for r in target.table("data").collect()] == [b"v1"]
+    assert {(r["collectionid"], r["metadata"].get("volume")) for r in target.table("collections").collect()} == {("a", "A"), ("b", None)}
+    tx = source.begin(3000)
+    tx.append("events", spark.createDataFrame([("a", 3, 1, "T", None, None), ("a", 4, 2, "R", 1, 1), ("a", 5, 2, "M", None, None), ("a", 6, 2, "T", None, None)], schema))
+    edits.set_metadata(tx, "a", "volume", "B")
+    tx.commit()
+    assert replicate.apply_transactions(source, target, 7, 20, apply_releases=True) == 2
+    assert {(r["collectionid"], r["segment"]) for r in target.table("cas").collect()} == {("a", 2), ("b", 1)}
+    assert target.table("collections").filter("collectionid = 'a'").first()["metadata"] == {"volume": "B"}
+    assert sorted((r["collectionid"], r["eventid"]) for r in target.table("replicated_events").collect()) == [("a", 0), ("a", 1), ("a", 2), ("a", 3), ("a", 4), ("a", 5), ("a", 6), ("b", 0), ("b", 1)]

@@ -416,9 +416,42 @@ def test_leaks_with_an_edge_changed_up_to_the_threshold(spark):
     assert got == want and want.keys() == {(d, d // 2) for d in texts}
 
 
+def test_short_items_are_found_whole(spark):
+    items = {1: "too short", 2: "One", 3: "a b c d", 4: "a a a a", 5: "five words make a shingle"}
+    texts = {1: "it is too short for that", 2: "nobody, one. ones", 3: "x a b c d e", 4: "a a a", 5: "a a a a a", 6: "", 7: "five words make a shingle of their own", 8: "short too"}
+    rows, benchmark = (spark.createDataFrame(list(d.items()), f"{name} long, text string") for d, name in ((texts, "doc_id"), (items, "item_id")))
+    got = {(r["doc_id"], r["item_id"], r["start"], r["similarity"]) for r in decontamination.leaks(rows, benchmark).collect()}
+    assert got == {(1, 1, 2, 1.0), (2, 2, 1, 1.0), (3, 3, 1, 1.0), (5, 4, 0, 1.0), (7, 5, 0, 1.0)}
+
+
+def test_fingerprints_of_pairs_at_the_threshold_lie_within_the_radius():
+    """Random shingles, those at an edge or in the middle changed down to 0.8: what the radius loses."""
+    rng, beyond, total = np.random.default_rng(1), 0, 0
+    for m in (9, 18, 27, 46, 56, 81, 96):
+        k = max(j for j in range(m) if (m - j) / (m + j) >= 0.8)
+        base = rng.integers(0, 2, (4000, m, 64))
+        changed = base.copy()
+        changed[:, :k] = rng.integers(0, 2, (4000, k, 64))
+        differ = ((base.sum(1) * 2 > m) != (changed.sum(1) * 2 > m)).sum(1)
+        beyond, total = beyond + int((differ > decontamination.RADIUS).sum()), total + 4000
+    assert beyond <= 5e-4 * total
+
+
+def test_fingerprints_equal_plain_ones(spark):
+    rng = random.Random(3)
+    rows = [(i, [rng.getrandbits(64) - 2**63 for _ in range(n)]) for i, n in enumerate((1, 2, 5, 60, 400, 66_000))]
+    got = spark.createDataFrame(rows, "id long, h array<long>").select("id", decontamination.simhash(F.col("h")).alias("print"), decontamination.weighted(F.col("h")).alias("w")).collect()
+    for r in got:
+        h = dict(rows)[r["id"]]
+        want = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+        assert r["print"] % 2**64 == want and len(set(r["w"])) == len(h)
+
+
 def test_leak_edges(spark):
     items = spark.createDataFrame([(1, "one two three four five six seven"), (2, None), (3, "too short"), (4, "one two three four five six seven")], "item_id long, text string")
     rows = odd(spark, [*EDGES, (8, "x one two three four five six seven y"), (8, "x one two three four five six seven y"), (None, "one two three four five six seven")])
     got = sorted(((r["doc_id"], r["item_id"]) for r in decontamination.leaks(rows, items).collect()), key=repr)
     assert got == sorted([(8, 1), (8, 4), (None, 1), (None, 4)], key=repr)
+    clash = items.selectExpr("*", "1 AS n", "'x' AS hashes", "2 AS block")
+    assert decontamination.leaks(rows.selectExpr("*", "3 AS start", "4 AS print"), clash).count() == 4  # a row for each of text and item; repeated rows tell once
     assert decontamination.leaks(rows.limit(0), items).count() == 0 == decontamination.leaks(rows, items.limit(0)).count()

@@ -32,8 +32,8 @@ RADIUS = 22
 BLOCKS = [64 * b // (RADIUS + 1) for b in range(RADIUS + 2)]
 #: The benchmark's shingles are broadcast up to this many (24 bytes each), its blocks up to this many (40 bytes each); beyond they are joined by a shuffle.
 BROADCAST = 1_000_000
-#: Four counters in a number, 16 bits each.
-LANES = 0x0001000100010001
+#: Eight counters in a number, 8 bits each.
+LANES = 0x0101010101010101
 
 
 def node(text: Column) -> Column:
@@ -72,22 +72,19 @@ def shifted(x: Column, by: Column) -> Column:
     return F.call_function("shiftrightunsigned", x, by)
 
 
-def counts(h: Column) -> Column:
-    """How many hashes have each of 64 bits set. Sixteen sums do for up to 65,535 hashes: each adds four bits at a time."""
-    each = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
-    sum_of = lambda k, mask: F.aggregate(h, F.lit(0).cast("long"), lambda n, x: n + shifted(x, k).bitwiseAND(F.lit(mask)))
-    lanes = F.transform(each(16), lambda k: sum_of(k, LANES))
-    few = once(lanes, lambda s: F.transform(each(64), lambda b: shifted(F.get(s, b % 16), F.lit(16) * F.floor(b / 16).cast("int")).bitwiseAND(F.lit(65535))))
-    return F.when(F.size(h) < 65536, few).otherwise(F.transform(each(64), lambda b: sum_of(b, 1)))
-
-
 def simhash(hashes: Column) -> Column:
-    """64 bits, each set if more of the hashes have it than lack it."""
+    """64 bits, each set if more of the hashes have it than lack it. Eight sums do for up to 255 hashes:
+    each adds eight bits at a time. It is never null, so that no filter computes it a second time."""
+    zero, each = F.lit(0).cast("long"), lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+
     def of(h: Column) -> Column:
-        bit = lambda c, b: F.when(c * 2 > F.size(h), F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))
-        return F.aggregate(F.transform(counts(h), bit), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
+        sum_of = lambda k, mask: F.aggregate(h, zero, lambda n, x: n + shifted(x, k).bitwiseAND(F.lit(mask)))
+        bit = lambda n, b: F.when(n * 2 > F.size(h), F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(zero)
+        count = lambda lanes, b: shifted(F.get(lanes, b.bitwiseAND(F.lit(7))), b.bitwiseAND(F.lit(56))).bitwiseAND(F.lit(255))
+        few = once(F.transform(each(8), lambda k: sum_of(k, LANES)), lambda lanes: F.aggregate(each(64), zero, lambda a, b: a.bitwiseOR(bit(count(lanes, b), b))))
+        return F.when(F.size(h) < 256, few).otherwise(F.aggregate(each(64), zero, lambda a, b: a.bitwiseOR(bit(sum_of(b, 1), b))))
 
-    return once(hashes, of)
+    return F.coalesce(once(hashes, of), zero)
 
 
 def blocks(print_: str) -> Column:
@@ -105,7 +102,7 @@ def first_block(difference: Column) -> Column:
 def weighted(run: Column) -> Column:
     """A set with a member for each occurrence, so that its Jaccard is the weighted one: in sorted order
     an occurrence's number is its distance from the first of its kind."""
-    return once(F.array_sort(run), lambda r: F.transform(r, lambda x, i: F.xxhash64(x, i + 1 - F.array_position(r, x))))
+    return once(F.sort_array(run), lambda r: F.transform(r, lambda x, i: F.xxhash64(x, i + 1 - F.array_position(r, x))))
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
@@ -123,7 +120,7 @@ def windows_of(documents: DataFrame, items: DataFrame, threshold: float, widths:
     runs = [texts.withColumn("runs", shingles("hashes", w)).select("doc_id", "node", "hashes", F.lit(w).alias("width"), F.posexplode_outer("runs").alias("at", "shingle")) for w in widths]
     hits = None
     for r in runs:
-        h = r.join(F.broadcast(anchors) if small else anchors, "shingle").groupBy("doc_id", "node", "n", "width").agg(F.first("hashes").alias("hashes"), F.array_sort(F.collect_set("at")).alias("ats"))
+        h = r.join(F.broadcast(anchors) if small else anchors, "shingle").groupBy("doc_id", "node", "n", "width").agg(F.first("hashes").alias("hashes"), F.sort_array(F.collect_set("at")).alias("ats"))
         hits = h if hits is None else hits.unionByName(h)
     # Of a window's m shingles and an item's, this many at least are in common; from the k-th hit on, so many lie in windows that start here.
     most = F.col("n") - F.col("width") + 1
@@ -135,12 +132,12 @@ def windows_of(documents: DataFrame, items: DataFrame, threshold: float, widths:
         high = F.least(at, F.greatest(F.size("hashes") - F.col("n"), F.lit(0)))
         return F.when(low <= high, F.sequence(low, F.greatest(low, high))).otherwise(F.array().cast("array<int>"))
 
-    hits = hits.withColumn("starts", F.array_distinct(F.flatten(F.transform("ats", starts)))).filter(F.size("starts") > 0)
+    hits = hits.withColumn("starts", F.array_distinct(F.flatten(F.transform("ats", starts))))
     runs_again = shingles("hashes")
     for w in widths:
         if w != WORDS:
             runs_again = F.when(F.col("width") == w, shingles("hashes", w)).otherwise(runs_again)
-    hits = hits.withColumn("runs", runs_again).select("doc_id", "node", "n", "m", "runs", F.explode("starts").alias("start"))
+    hits = hits.withColumn("runs", runs_again).select("doc_id", "node", "n", "m", "runs", F.explode_outer("starts").alias("start")).filter(F.col("start").isNotNull())
     return hits.select("doc_id", "node", "n", "start", F.slice("runs", F.col("start") + 1, F.col("m")).alias("window"))
 
 
@@ -164,8 +161,8 @@ def leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     near = near.select("doc_id", "node", "n", "start", "item_id", "item", weighted(F.col("window")).alias("members"))
     members = items.select(F.col("item_id").alias("i_id"), F.col("item").alias("i_item"), "item_members")
     near = near.join(held(members), F.col("item_id").eqNullSafe(F.col("i_id")) & (F.col("item") == F.col("i_item")))
-    common = F.size(F.array_intersect("members", "item_members"))
-    both = near.select("doc_id", "node", "item_id", "start", common.alias("common"), (F.size("members") + F.size("item_members")).alias("sizes"))
-    scored = both.select("doc_id", "node", "item_id", "start", (F.col("common") / (F.col("sizes") - F.col("common"))).alias("similarity")).filter(F.col("similarity") >= threshold)
+    sizes = F.size("members") + F.size("item_members")
+    similarity = once(F.size(F.array_intersect("members", "item_members")), lambda common: common / (sizes - common))
+    scored = near.select("doc_id", "node", "item_id", "start", similarity.alias("similarity")).filter(F.col("similarity") >= threshold)
     best = scored.groupBy("doc_id", "node", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best"))
     return best.select("doc_id", "node", "item_id", (-F.col("best.back")).cast("long").alias("start"), "best.similarity")

@@ -10,16 +10,19 @@ has a dart, so the work follows the text's length and not length times coordinat
 Bands of coordinates are joined: within a bucket every text is paired with a hub and with its
 neighbour in an order by a further band, which is linear in the bucket's size, and never all with
 all. Each pair is verified by its exact weighted Jaccard similarity, and classes are the
-connected components of the verified links. Then, in buckets that still hold several classes, every
-text outside the largest is compared exactly with every text of another class, in blocks, through
+connected components of the verified links. Then come the buckets that still hold several classes.
+A text can only have a link to another class if enough of its regions occur in another class; those
+that can't are left out, which takes a count and no pairs. Of the others in a bucket, every text
+outside the largest class is compared exactly with every text of another class, in blocks, through
 the block's postings of regions; no pair is written but a link found. So the classes are those of
-all pairs within buckets. The work of that step grows with a bucket's size times its texts outside
-the largest class, spread over tasks of two blocks each.
+all pairs within buckets. The work of that last step grows with the number of such texts in a bucket
+times those outside the largest class, spread over tasks of two blocks each.
 
 Exact copies of a text are one node throughout. Words are `\\w+` in lower case; a text of one to
-four words is one shingle, one without words matches only its exact copies. A null text is empty.
-The class id is the least doc_id of the class (null ids don't count; null if there's no other).
-Repeated rows are exact copies. Empty input gives an empty result.
+four words is one shingle, one without words matches only its exact copies. A null text is empty,
+very long ones are read whole. The class id is the least doc_id of the class (null ids don't count;
+null if there's no other), so ties don't matter. Repeated rows are exact copies. Empty input gives an
+empty result. Only doc_id and text are read, whatever other columns are named.
 """
 
 from __future__ import annotations
@@ -36,8 +39,8 @@ from lithos.llm.common import checkpointed, remove, shared_path
 
 WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 25, 5
 K = BANDS * ROWS
-#: Texts of a bucket that are compared with as many others in one unit of work.
-BLOCK = 256
+#: Texts of a bucket, and characters of theirs, that are compared with as many others in one unit of work.
+BLOCK, BLOCK_CHARS = 4096, 8_000_000
 TOKEN = re.compile(r"\w+")
 #: Ends of the layers of ranks; each has four times the darts of all before.
 LAYERS = [4.0**e for e in range(-3, 9)]
@@ -135,8 +138,8 @@ def bands(cells: np.ndarray) -> np.ndarray:
 
 
 def node(text: Column) -> Column:
-    """The key of a text and its exact copies."""
-    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+    """The key of a text and its exact copies: 128 bits of its SHA-256."""
+    return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)), 1, 16)
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -195,21 +198,49 @@ def candidates(shared: DataFrame) -> DataFrame:
     return pairs.select(pair(F.col("node"), F.col("other"))).distinct()
 
 
-def units(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """key, b, o, query, node, label: buckets of several classes cut into units (key, b, o) of a block
-    of all members and a block of those outside the largest class, the latter marked as queries."""
-    named = shared.select("key", "node").join(labels, "node")
+def several(named: DataFrame) -> DataFrame:
+    """key, top (the label of its largest class), n (members), outside: buckets (key, node, label) of several classes."""
     of_class = named.groupBy("key", "label").agg(F.count("*").alias("n"))
     sizes = of_class.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"))
-    # The hub was tried against all: a bucket of two has no untried pair.
-    sizes = sizes.filter((F.col("n") > 2) & (F.col("n") > F.col("top.n")))
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    sizes = sizes.select("key", F.col("top.label").alias("top"), blocks(F.col("n")).alias("n_b"), blocks(F.col("n") - F.col("top.n")).alias("n_o"))
-    several = named.join(sizes, "key")
+    return sizes.filter(F.col("n") > F.col("top.n")).select("key", F.col("top.label").alias("top"), "n", (F.col("n") - F.col("top.n")).alias("outside"))
+
+
+def linkable(suspects: DataFrame, texts: DataFrame, threshold: float, path: str) -> DataFrame:
+    """node of those suspects (node, label) that can have a link to another label among them. Two texts
+    at the threshold t have t times the larger one's regions in common, and a common region of two
+    labels is known from its least and greatest label."""
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler()
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):
+                part = batch.slice(start, 64)
+                found = [regions(shingler.shingles(text or "")) for text in part["text"].to_pylist()]
+                sizes = np.array([len(f) for f in found])
+                rows = pa.array(np.repeat(np.arange(len(found)), sizes))
+                yield pa.RecordBatch.from_arrays(
+                    [part["node"].take(rows), part["label"].take(rows), pa.array(np.repeat(sizes, sizes), pa.int64()), pa.array(np.concatenate(found).view(np.int64))], ["node", "label", "size", "region"]
+                )
+
+    suspects.join(texts, "node").select("node", "label", "text").mapInArrow(cells, "node binary, label binary, size long, region long").write.parquet(path)
+    rows = suspects.sparkSession.read.parquet(path)
+    mixed = rows.groupBy("region").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("region")
+    common = rows.join(mixed, "region", "left_semi").groupBy("node").agg(F.count("*").alias("common"), F.first("size").alias("size"))
+    return common.filter(F.col("common") >= F.col("size") * threshold - 1e-9).select("node")
+
+
+def units(named: DataFrame) -> DataFrame:
+    """key, b, o, query, node, label: buckets of several classes (key, node, label, chars) cut into
+    units (key, b, o) of a block of all members and a block of those outside the largest class, the
+    latter marked as queries."""
+    chars = named.groupBy("key").agg(F.sum("chars").alias("chars"))
+    blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.ceil(F.col("chars") * n / F.col("n") / BLOCK_CHARS)).cast("int")
+    sizes = several(named).join(chars, "key").select("key", "top", blocks(F.col("n")).alias("n_b"), blocks(F.col("outside")).alias("n_o"))
+    rows = named.drop("chars").join(sizes, "key")
     of_node = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    members = several.select("key", of_node(F.col("n_b")).alias("b"), all_of(F.col("n_o")).alias("o"), F.lit(False).alias("query"), "node", "label")
-    outside = several.filter(F.col("label") != F.col("top"))
+    members = rows.select("key", of_node(F.col("n_b")).alias("b"), all_of(F.col("n_o")).alias("o"), F.lit(False).alias("query"), "node", "label")
+    outside = rows.filter(F.col("label") != F.col("top"))
     queries = outside.select("key", all_of(F.col("n_b")).alias("b"), of_node(F.col("n_o")).alias("o"), F.lit(True).alias("query"), "node", "label")
     return members.unionByName(queries)
 
@@ -235,7 +266,17 @@ def links_across(members: list[tuple[bytes, bytes, np.ndarray]], queries: list[t
 def further_links(shared: DataFrame, labels: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """u, v: links between classes (labels: node, label) of a bucket, one at least for each text outside
     its largest class and other class that it has a link to."""
-    rows = units(shared, labels).join(texts, "node").repartition("key", "b", "o").sortWithinPartitions("key", "b", "o")
+    spark = shared.sparkSession
+    named = shared.select("key", "node").join(labels, "node")
+    # The hub was tried against all: a bucket of two has no untried pair.
+    untried = several(named).filter("n > 2").select("key")
+    suspects = checkpointed(named.join(untried, "key", "left_semi"))
+    path = shared_path(spark, "near-dup-regions")
+    left = checkpointed(linkable(suspects.select("node", "label").distinct(), texts, threshold, path))
+    remove(spark, path)
+    lengths = texts.select("node", F.length("text").alias("chars")).join(left, "node", "left_semi")
+    rows = units(checkpointed(suspects.join(lengths, "node"))).join(texts, "node")
+    rows = rows.repartition("key", "b", "o").sortWithinPartitions("key", "b", "o")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, unit_, sides = Shingler(), None, ([], [])

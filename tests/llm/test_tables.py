@@ -109,7 +109,7 @@ def test_pipeline_equals_brute_force(spark):
     documents = spark.read.parquet(f"{SF}/documents.parquet")
     texts = {r["doc_id"]: r["text"] or "" for r in documents.collect()}
     model = toxicity.fit(documents, spark.read.parquet(f"{SF}/labels.parquet"))
-    reader = toxicity.Reader(model.stems)
+    reader = toxicity.Reader(model.stems, model.softeners)
     texts = {i: t for i, t in texts.items() if toxicity.score_of(reader.patterns(t), model) < corpus_pipeline.TOXIC}
     texts = {i: texts[i] for i, c in exact_classes(texts).items() if i == c}
     items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lithos.llm import decontamination, licenses, near_dup, pieces, quality, secret_scan, sharding, toxicity
+from lithos.llm import queries as llm_queries
 from lithos.llm.queries import piece_model
 
 SF = "/root/testdata/sf0.001"
@@ -168,6 +169,69 @@ def test_grammar_reads_clauses():
     assert score("you idiot") > score("an idiot") > score("he said idiot") > score("fine") == score("")
 
 
+def plain_score(text, model):
+    """The grammar said in loops: of each clause the head with the fewest marks, the first of such."""
+    lists = {"T": toxicity.TARGETS, "N": toxicity.NEGATIONS, "R": toxicity.REPORTS, "W": toxicity.INTENTS, "V": toxicity.THREATS, "I": toxicity.INSULTS}
+    known = {}
+    for mark, words in lists.items():
+        known |= dict.fromkeys(words.split(), mark)
+    clean = 1 - model.base
+    for clause in re.split(r"[.!?;\n]", text.lower()):
+        words = re.findall(r"[^\W\d_]+(?:'[^\W\d_]+)*", clause)
+        marks = [known.get(w) or ("N" if w in model.softeners else "L" if any(w.startswith(s) for s in model.stems) else "x") for w in words]
+        best = None
+        for i, m in enumerate(marks):
+            if m in "IL" or m == "V" and "W" in marks[:i]:
+                adds = ["negated"] * ("N" in marks[max(0, i - 3) : i]) + ["reported"] * ("R" in marks[:i])
+                if best is None or len(adds) < len(best[1]):
+                    best = {"I": "insult", "L": "stem", "V": "threat"}[m], adds
+        if best:
+            total = sum(model.weights[w] for w in [best[0], *best[1], *["target"] * ("T" in marks)])
+            clean *= 1 - 1 / (1 + np.exp(-total))
+    return 1 - clean
+
+
+def test_scores_equal_plain_ones(spark, documents, texts):
+    model = toxicity.fit(documents, spark.read.parquet(f"{SF}/labels.parquet"))
+    for r in llm_queries.op4_toxicity_grammar(spark, SF).collect():
+        assert r["score"] == pytest.approx(plain_score(texts[r["doc_id"]], model)) and r["predicted"] == (r["score"] >= 0.3)
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+    dice, model = random.Random(9), toxicity.Model(["grumbl"], ["nul"])
+    parts = ["you", "idiot", "not", "stupid", "said", "will", "kill", "hurt", "grumbling", "nul", "fine", "never", "them", ".", ";", "and", "l'idiot", "Idiot", "voy", "matar"]
+    reader = toxicity.Reader(model.stems, model.softeners)
+    for _ in range(2000):
+        text = " ".join(dice.choice(parts) for _ in range(dice.randint(0, 14)))
+        assert toxicity.score_of(reader.patterns(text), model) == pytest.approx(plain_score(text, model)), text
+
+
+def test_the_grammar_decides_what_a_word_list_cannot(spark):
+    """Insults in every text; toxic are those that are neither negated, by a word of no known language, nor reported."""
+    dice, rows, labels = random.Random(10), [], []
+    filler = lambda n: " ".join(dice.choice("lorem ipsum dolor amet magna aliqua tempor labore".split()) + dice.choice("abcdefgh") for _ in range(n))
+    forms = [("{} so {} {}.", 1), ("you {1} {0} {2}.", 1), ("{} nul {} {}.", 0), ("{} nul re {} {}.", 0), ("they said {} {} {}.", 0), ("{} not {} {}.", 0)]
+    for i in range(600):
+        form, bad = dice.choice(forms)
+        insult = dice.choice(["idiot", "trottel", "idiota", "imbécile", "worthless", "scum"])
+        rows.append((i, f"{filler(20)}. {form.format(filler(1), insult, filler(2))} {filler(20)}."))
+        labels.append((i, bad))
+    docs, truth = spark.createDataFrame(rows, "doc_id long, text string"), dict(labels)
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert model.softeners == ["nul", "re"]  # `re` stands before insults only where `nul` does
+    held = [r for r in toxicity.score_documents(docs, model).withColumn("held", toxicity.held_out(F.col("doc_id"))).collect() if r["held"]]
+    right = lambda said: sum(said(r) == truth[r["doc_id"]] for r in held) / len(held)
+    assert right(lambda r: r["score"] >= 0.3) >= 0.98 and right(lambda r: r["n_clauses"] > 0) < 0.5
+    # Without one of the parts the same texts are judged wrongly, whatever weights the labels give the rest.
+    for parts in ({"negations": False}, {"reports": False}):
+        reader = toxicity.Reader(model.stems, model.softeners, toxicity.grammar(**parts))
+        seen = Counter()
+        for i, text in rows:
+            if zlib.crc32(str(i).encode()) % 4 != 2:
+                seen[tuple(sorted(reader.patterns(text))), truth[i]] += 1
+        less = toxicity.model_of(model.stems, model.softeners, [(p, seen[p, 1], seen[p, 0] + seen[p, 1]) for p in {p for p, _ in seen}])
+        of_text = dict(rows)
+        assert right(lambda r: toxicity.score_of(reader.patterns(of_text[r["doc_id"]]), less) >= 0.3) < 0.9  # noqa: B023
+
+
 def test_toxicity_learns_stems_of_training_rows_only(spark):
     dice = random.Random(5)
     plain = ["lorem", "ipsum", "dolor", "amet", "magna", "aliqua", "tempor", "labore"]

@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
 read again as the next one's docs. Stages keep further columns of docs as they are, whatever their
-names; rows with nulls are treated as the operators say.
+names (their own are chosen so that they clash with none); rows with nulls are treated as the
+operators say.
 """
 
 from __future__ import annotations
@@ -18,6 +19,14 @@ from lithos.llm.queries import piece_model
 TOXIC = 0.3
 
 
+def spare(docs: DataFrame, name: str) -> str:
+    """The name, or one like it that is no column of docs."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the grammar rejects. The score is a column, so no join is needed."""
     ship_package(spark)
@@ -30,28 +39,30 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     ship_package(spark)
     found = near_dup.classes(docs.select("doc_id", "text"))
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("class_node")))
-    kept = kept.select(F.col("doc_id").alias("kept_id"), F.col("node").alias("kept_node")).distinct()
-    key = near_dup.node(docs["text"])
-    chosen = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["kept_id"]) & (key == kept["kept_node"]), "left_semi")
+    own_id, own_node, key = (spare(docs, n) for n in ("kept_id", "kept_node", "text_key"))
+    kept = kept.select(F.col("doc_id").alias(own_id), F.col("node").alias(own_node)).distinct()
+    keyed = docs.withColumn(key, near_dup.node(F.col("text")))
+    chosen = keyed.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)) & (F.col(key) == F.col(own_node)), "left_semi")
     # Rows that repeat a doc_id and a text are copies; one stays.
-    return chosen.withColumn("__node", near_dup.node(F.col("text"))).dropDuplicates(["doc_id", "__node"]).drop("__node")
+    return chosen.dropDuplicates(["doc_id", key]).drop(key)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a passage of the benchmark."""
     found = decontamination.leaks(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    leaked = found.select(F.col("node").alias("leaked")).distinct()
-    return docs.join(leaked, near_dup.node(docs["text"]) == leaked["leaked"], "left_anti")
+    leaked = spare(docs, "leaked")
+    return docs.join(found.select(F.col("node").alias(leaked)).distinct(), decontamination.node(docs["text"]) == F.col(leaked), "left_anti")
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets by [SECRET]; n_chars follows the text where it changes. No document goes."""
     ship_package(spark)
-    scanner = secret_scan.Scanner(secret_scan.automata(), secret_scan.letter_pairs(docs.select("doc_id", "text")))
-    masked = docs.withColumn("__masked", secret_scan.redact_column(F.col("text"), scanner))
-    changed = ~F.col("__masked").eqNullSafe(F.col("text"))
-    masked = masked.withColumn("n_chars", F.when(changed, F.length("__masked").cast("long")).otherwise(F.col("n_chars")))
-    return masked.withColumn("text", F.col("__masked")).drop("__masked")
+    scanner = secret_scan.fitted(docs.select("doc_id", "text"))
+    name = spare(docs, "masked")
+    masked = docs.withColumn(name, secret_scan.redact_column(F.col("text"), scanner))
+    changed = ~F.col(name).eqNullSafe(F.col("text"))
+    masked = masked.withColumn("n_chars", F.when(changed, F.length(name).cast("long")).otherwise(F.col("n_chars")))
+    return masked.withColumn("text", F.col(name)).drop(name)
 
 
 def piece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

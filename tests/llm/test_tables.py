@@ -6,6 +6,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lithos.llm import chat, warc
@@ -64,11 +65,33 @@ def test_archive_round_trip(spark):
     assert spark.read.parquet(f"{path}/payloads").count() == len({p[2] or "" for p in pages})
     kinds = {(r["page_id"], bytes(r["payload"]).decode()): (r["record_type"], r["refers_to"]) for r in got}
     assert kinds == {(3, "same"): ("revisit", 1), (1, "same"): ("response", None), (2, ""): ("response", None), (4, ""): ("revisit", 2), (5, long): ("response", None), (None, "same"): ("revisit", 1), (7, "twice"): ("response", None), (None, "alone"): ("response", None)}
+    assert len({r["record_id"] for r in got}) == len(got)
+    of_id = {r["record_id"]: r for r in got}
     for r in got:
         data = bytes(r["payload"])
         assert r["payload_digest"] == base64.b32encode(hashlib.sha1(data).digest()).decode() and r["payload_bytes"] == len(data)
-        head, _, rest = bytes(r["record"]).partition(b"\r\n\r\n")
-        assert head.startswith(b"WARC/1.1\r\n") and rest == data + b"\r\n\r\n" and b"\r\nEvil" not in head
+        head, _, block = bytes(r["record"]).partition(b"\r\n\r\n")
+        fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
+        assert head.startswith(b"WARC/1.1\r\n") and "Evil" not in fields and int(fields["Content-Length"]) == len(block)
+        assert fields["Content-Type"].startswith("application/http") and fields["WARC-Date"].endswith("Z") and fields["WARC-Target-URI"]
+        http, _, body = block.partition(b"\r\n\r\n")
+        assert http.startswith(b"HTTP/1.1 200 OK\r\n") and f"Content-Length: {len(data)}".encode() in http
+        if r["record_type"] == "response":
+            assert body == data and "WARC-Refers-To" not in fields
+        else:
+            answered = of_id[fields["WARC-Refers-To"]]
+            assert body == b"" and "identical-payload-digest" in fields["WARC-Profile"] and answered["record_type"] == "response" and answered["payload"] == r["payload"]
+    files = shared_path(spark, "test-warc-files")
+    warc.write_files(spark, path, files, records_a_file=3)
+    back = {r["record_id"]: (r["record_type"], r["header"].encode() + b"\r\n\r\n" + bytes(r["block"])) for r in warc.read_files(spark, files).collect()}
+    assert back == {r["record_id"]: (r["record_type"], bytes(r["record"])) for r in got}
+    bad = shared_path(spark, "test-warc")
+    warc.write_archive(spark.createDataFrame([(1, "u", "right")], "page_id long, url string, html string"), bad)
+    spark.read.parquet(f"{bad}/payloads").withColumn("payload", F.encode(F.lit("wrong"), "UTF-8")).write.parquet(f"{bad}/other")
+    spark.read.parquet(f"{bad}/other").write.mode("overwrite").parquet(f"{bad}/payloads")
+    assert not warc.read_archive(spark, bad, strict=False).first()["verified"]
+    with pytest.raises(Exception, match="differs from its digest"):
+        warc.read_archive(spark, bad).collect()
     empty = shared_path(spark, "test-warc")
     warc.write_archive(spark.createDataFrame([], "page_id long, url string, html string"), empty)
     assert warc.read_archive(spark, empty).count() == 0

@@ -1,11 +1,14 @@
 """Repetition rules for text quality.
 
-Words are runs without ASCII white space. For several n, a rolling hash marks the n-word windows
-that occur more than once in a text (equal hashes are compared word by word, so that a collision
-can't count), and the characters that such windows and repeated lines cover, as shares of the
-words' characters, decide with the base rules whether a text is kept.
-
-Null and empty texts have no words and fail the base rule. Every row is judged for itself.
+Words are runs without ASCII white space. A rolling hash, whose prefixes are computed once for a text,
+gives the hash of each window of n words for every n from two of its prefixes; windows that occur more
+than once in a text are marked (equal hashes are compared word by word, so that a collision can't
+count). The characters that such windows and repeated lines cover, as shares of the words' characters,
+decide with the base rules whether a text is kept.
+
+Null and empty texts have no words and fail the base rule. Every row is judged for itself, so repeated
+rows are judged alike; very long texts are read whole. An empty table gives an empty result. Only
+doc_id and text are read, whatever other columns are named.
 """
 
 from __future__ import annotations
@@ -36,27 +39,47 @@ class Limits:
     line_share: float = 0.35
 
 
-def repeated(ids: np.ndarray, n: int) -> np.ndarray:
+def powers(n: int, base: np.uint64) -> np.ndarray:
+    """base to the powers 0 to n, modulo 2**64."""
+    out = np.full(n + 1, base)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+INVERSE = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
+
+
+class Rolling:
+    """Hashes of all windows of a sequence of ids. A prefix's hash is the sum of its scrambled ids times
+    the powers of the multiplier, so that a window's is the difference of two prefixes', brought to the
+    first power by the multiplier's inverse."""
+
+    def __init__(self, ids: np.ndarray):
+        scrambled = (ids.astype(np.uint64) + np.uint64(1)) * MULTIPLIER
+        scrambled ^= scrambled >> np.uint64(29)
+        self.prefixes = np.concatenate((np.zeros(1, np.uint64), np.cumsum(scrambled * powers(len(ids), MULTIPLIER)[1:], dtype=np.uint64)))
+        self.back = powers(len(ids), INVERSE)
+
+    def windows(self, n: int) -> np.ndarray:
+        return (self.prefixes[n:] - self.prefixes[: len(self.prefixes) - n]) * self.back[: len(self.prefixes) - n]
+
+
+def repeated(ids: np.ndarray, n: int, rolling: Rolling | None = None) -> np.ndarray:
     """Marks the words in n-word windows that occur at least twice."""
     marks = np.zeros(len(ids), bool)
-    count = len(ids) - n + 1
-    if count < 2:
+    if len(ids) <= n:
         return marks
-    hashes, scrambled = np.zeros(count, np.uint64), (ids.astype(np.uint64) + np.uint64(1)) * MULTIPLIER
-    scrambled ^= scrambled >> np.uint64(29)
-    for k in range(n):
-        hashes = hashes * MULTIPLIER + scrambled[k : k + count]
+    hashes = (rolling or Rolling(ids)).windows(n)
     order = np.argsort(hashes, kind="stable")
     same = np.flatnonzero(hashes[order[1:]] == hashes[order[:-1]])
     if not len(same):
         return marks
     a, b = order[same], order[same + 1]
-    windows = np.lib.stride_tricks.sliding_window_view(ids, n)
     equal = np.ones(len(a), bool)
     for k in range(n):
         equal &= ids[a + k] == ids[b + k]
     if not equal.all():  # a collision: group the windows themselves
-        _, back, counts = np.unique(windows, axis=0, return_inverse=True, return_counts=True)
+        _, back, counts = np.unique(np.lib.stride_tricks.sliding_window_view(ids, n), axis=0, return_inverse=True, return_counts=True)
         starts = np.flatnonzero(counts[back.ravel()] > 1)
     else:
         starts = np.unique(np.concatenate((a, b)))
@@ -84,8 +107,9 @@ def measure(text: str, limits: Limits) -> tuple[int, int, int, int, int, bool, b
     seen: dict[bytes, int] = {}
     ids = np.array([seen.setdefault(w, len(seen)) for w in words], np.int64)
     worst, n_repeat, lengths = dup_line_chars / chars / limits.line_share if chars else 0.0, 0, None
+    rolling = Rolling(ids)
     for n in sorted({WINDOW, *limits.windows}):
-        marks = repeated(ids, n)
+        marks = repeated(ids, n, rolling)
         if not marks.any():
             break  # nor do longer windows occur twice
         if lengths is None:

@@ -449,6 +449,63 @@ def test_quality_equals_brute_force(spark, documents, texts):
         assert not (r["base_failed"] and r["kept"])
 
 
+def plain_verdict(text, limits):
+    """kept, and the largest ratio of a share to its limit, in plain loops."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    chars, ratios = sum(map(len, words)), [0.0]
+    for n, most in limits.windows.items():
+        seen = Counter(tuple(words[i : i + n]) for i in range(len(words) - n + 1))
+        covered = {j for i in range(len(words) - n + 1) if seen[tuple(words[i : i + n])] > 1 for j in range(i, i + n)}
+        ratios.append(sum(len(words[j]) for j in covered) / max(1, chars) / most)
+    lines, doubled = set(), 0
+    for line in text.split("\n"):
+        doubled += sum(map(len, re.findall(r"[^\x20\x09-\x0D]+", line))) if line in lines else 0
+        lines.add(line)
+    ratios.append(doubled / max(1, chars) / limits.line_share)
+    return not brute_quality(text)[5] and max(ratios) <= 1, max(ratios)
+
+
+def test_verdicts_equal_plain_ones(spark, documents, texts):
+    limits = quality.Limits()
+    for r in quality.rate_documents(documents).collect():
+        kept, worst = plain_verdict(texts[r["doc_id"]], limits)
+        assert r["kept"] == kept
+        # Windows longer than the first length without a repetition are none either, so the ratios agree.
+        assert r["worst"] == pytest.approx(worst)
+    dice = random.Random(21)
+    for _ in range(400):
+        words = [dice.choice("abcdefghijklmnop") * dice.randint(1, 4) for _ in range(dice.randint(0, 40))]
+        text = dice.choice([" ", "\n"]).join(words * dice.choice([1, 1, 2])) + dice.choice(["", "\nx y\nx y", "é" * 9])
+        got = quality.measure(text, limits)
+        assert got[:6] == brute_quality(text) and got[6] == plain_verdict(text, limits)[0] and got[7] == pytest.approx(plain_verdict(text, limits)[1]), text
+
+
+def test_the_verdict_is_more_than_the_base_rules():
+    """Repeated short phrases and repeated lines, which no window of eight words shows."""
+    unique = " ".join(f"w{i}" for i in range(40))
+    phrases = " ".join(f"same old story {i}" for i in range(60))
+    lines = "\n".join(f"a considerably long line\nno {i}" for i in range(20))
+    for text, kept in ((unique, True), (phrases, False), (lines, False)):
+        assert quality.measure(text, quality.Limits())[5:7] == (False, kept), text
+
+
+def test_rolling_hashes_tell_windows_apart():
+    rng = np.random.default_rng(2)
+    ids = rng.integers(0, 6, 500)
+    rolling = quality.Rolling(ids)
+    for n in (1, 3, 5, 8, 16, 500):
+        hashes = rolling.windows(n)
+        windows = [tuple(ids[i : i + n]) for i in range(len(ids) - n + 1)]
+        assert len(hashes) == len(windows) and len({*zip(hashes.tolist(), windows, strict=True)}) == len({*windows}) == len({*hashes.tolist()})
+    assert quality.Rolling(ids[:0]).windows(0).tolist() == [0]
+
+
+def test_quality_edges(spark):
+    rows = quality.rate_documents(odd(spark, EDGES)).collect()
+    assert len(rows) == len(EDGES) and [r["base_failed"] for r in rows] == [True] * len(EDGES)
+    assert quality.rate_documents(odd(spark, EDGES).limit(0)).count() == 0
+
+
 # Decontamination
 
 

@@ -5,9 +5,10 @@ its reply is trainable. A turn is written `<s>role\\ntext</s>\\n`; control strin
 a backslash after their first character and backslashes are doubled, which `unescaped` undoes.
 
 The turns of a conversation stand in order of (turn, role, text), null turns first. A null role or
-text is empty, rows that repeat are turns that repeat, a null conv_id is a conversation of its
-own. A conversation that doesn't end with a reply has one more row, without a loss, that holds
-all of it, so the output always holds every turn. Other columns are ignored.
+text is empty, very long ones are like others, rows that repeat are turns that repeat, a null conv_id
+is a conversation of its own. A conversation that doesn't end with a reply has one more row, without a
+loss, that holds all of it, so the output always holds every turn. An empty table gives an empty
+result. Other columns are ignored. A conversation is one value, so it has 2 GB at most.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What a text must not contain as it is: the template's marks and those of a common instruction format.
-CONTROL = r"\\|<(?=/?s>|/?<SYS>>)|\[(?=/?INST\])"
+CONTROL = r"\\|<(?=/?s>|<SYS>>|</SYS>>)|\[(?=/?INST\])"
 BEGIN, END = "<s>", "</s>\n"
 
 

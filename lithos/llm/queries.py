@@ -111,7 +111,7 @@ WITH t AS (
   UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), e AS (
   SELECT *, length(text) + length(text) - length(replace(text, '\', ''))
-    + len(regexp_extract_all(text, '<(/?s>|/?<SYS>>)')) + len(regexp_extract_all(text, '\[/?INST\]'))
+    + len(regexp_extract_all(text, '</?s>')) + len(regexp_extract_all(text, '<<SYS>>')) + len(regexp_extract_all(text, '<</SYS>>')) + len(regexp_extract_all(text, '\[/?INST\]'))
     + 3 + length(role) + 1 + 5 AS n
   FROM t
 ), s AS (

@@ -55,6 +55,22 @@ def test_chat_round_trip(spark):
     assert chat.examples(turns.limit(0)).count() == 0
 
 
+def test_each_control_string_is_escaped(spark):
+    marks = ["<s>", "</s>", "<<SYS>>", "<</SYS>>", "[INST]", "[/INST]"]
+    texts = [*marks, "".join(marks), "<" + "".join(marks), "\\".join(marks), "<<s>>", "[[INST]]", "<<<SYS>>", "< s>", "[inst]"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", chat.escaped(F.col("text")).alias("out")).withColumn("back", chat.unescaped(F.col("out"))).collect()
+    for r in rows:
+        assert r["back"] == r["text"] and not any(m in r["out"] for m in marks), r
+    assert [r["out"] for r in rows[-2:]] == ["< s>", "[inst]"]
+
+
+def test_chat_with_a_very_long_text(spark):
+    long = "</s>é" * 200_000
+    rows = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long)], "conv_id long, turn long, role string, text string")
+    back = chat.read_back(chat.examples(rows)).first()
+    assert back["losses"] == [long] and [t["text"] for t in back["turns"]] == [long, long]
+
+
 def test_archive_round_trip(spark):
     long = "<p>x</p>" * 50_000
     pages = [(3, "http://a/\r\nEvil: 1", "same"), (1, "http://b", "same"), (2, None, None), (4, "http://c", ""), (5, "u", long), (None, "n", "same"), (7, "r", "twice"), (7, "r", "twice"), (None, "z", "alone")]

@@ -1,17 +1,22 @@
 """Licence notices by Dice's coefficient over word bigrams, with built-in functions only.
 
-A text's word bigrams are matched with those of the templates (a fixed list, so broadcast). Matched
-bigrams of a template that stand close together form a stretch, which is compared: twice the bigrams
-in common, counted with repetition, over the bigrams of both. A stretch that falls below the
-threshold (a notice between words it shares with prose, or several notices in a row) is cut: each of
-its windows from a matched bigram to another is compared, but for those that the matched bigram next
-to an end improves. Of stretches and windows that overlap the best stays, then the longest, then the
-first by name; this is repeated for those that overlap none that stays.
-
-The SQL knows whole stretches only, so it says the same wherever no stretch has to be cut.
-
-Words are runs of ASCII letters and digits in lower case. Null and empty texts have none. Rows that
-repeat a doc_id and a text give one result; a null doc_id is a value like any other.
+A text's word bigrams are matched with those of the templates (a fixed list, so broadcast). By the size
+bound a text at the threshold t has t / (2 - t) of a template's bigrams at least, so of any set of more
+than the rest it has one: texts that have none of such a set of any template (the longest, which prose
+shares least) go before anything is exploded or shuffled, and so do, before windows are compared, the
+templates of which a stretch has too few. Matched bigrams of a template that stand close together form a stretch, which is compared: twice the bigrams
+in common, counted with repetition, over the bigrams of both. A stretch may hold a notice between words
+it shares with prose, or several notices in a row, so each of its windows from a matched bigram to
+another is compared, but for those that the matched bigram next to an end improves. Of windows that
+overlap the best stays, then the longest, then the first by name; this is repeated for those that
+overlap none that stays.
+
+The SQL knows whole stretches only, so it says the same wherever no part of a stretch is better.
+
+Words are runs of ASCII letters and digits in lower case. Null and empty texts have none, very long
+ones are scanned whole. Rows that repeat a doc_id and a text give one result; a null doc_id is a value
+like any other. An empty table gives an empty result. Only doc_id and text are read, whatever other
+columns are named.
 """
 
 from __future__ import annotations
@@ -32,9 +37,14 @@ TEMPLATES = {
     "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
     "ISC": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
     "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
     "GPL-2.0-line": "This work is licensed under the GNU General Public License, version 2.",
     "GPL-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GPL-2.0-notice": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "LGPL-2.1-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "AGPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "LGPL-3.0-line": "This work is licensed under the GNU Lesser General Public License, version 3.",
     "AGPL-3.0-line": "This work is licensed under the GNU Affero General Public License, version 3.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
@@ -52,19 +62,39 @@ LONGEST = max(len(w) - 1 for w in _WORDS.values())
 MOST = max(max(Counter(zip(w, w[1:])).values()) for w in _WORDS.values())
 
 
+def distinctive(threshold: float) -> list[str]:
+    """Bigrams of which a text at the threshold has one for some template: of each template so many,
+    counted with repetition, that the rest are too few."""
+    out: set[str] = set()
+    for w in _WORDS.values():
+        times = Counter(f"{a} {b}" for a, b in zip(w, w[1:]))
+        rest, needed = len(w) - 1, (len(w) - 1) * threshold / (2 - threshold) - 1e-9
+        for bigram in sorted(times, key=lambda b: (-len(b), b)):
+            if rest < needed:
+                break
+            out.add(bigram)
+            rest -= times[bigram]
+    return sorted(out)
+
+
 def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), "")
 
 
-def bigrams(of: str) -> Column:
-    """Neighbouring words of an array column, with a space between; empty below two words."""
-    return F.when(F.size(of) > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.size(of) - 1, F.lit(1))), lambda i: F.concat(F.element_at(of, i), F.lit(" "), F.element_at(of, i + 1)))).otherwise(F.array().cast("array<string>"))
+def bigrams(of: Column) -> Column:
+    """Neighbouring words of an array, with a space between; empty below two words. The array is computed
+    once: a column named inside a lambda would be computed anew for each element."""
+    def pairs(w: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 1, F.lit(1))), lambda i: F.concat(F.element_at(w, i), F.lit(" "), F.element_at(w, i + 1)))
+        return F.when(F.size(w) > 1, each).otherwise(F.array().cast("array<string>"))
+
+    return F.element_at(F.transform(F.array(of), pairs), 1)
 
 
 def templates(spark: SparkSession) -> DataFrame:
     """license, size (bigrams), gap (unmatched bigrams a stretch may hold at a place)."""
-    rows = spark.createDataFrame(list(TEMPLATES.items()), "license string, text string").select("license", words(F.col("text")).alias("words"))
-    rows = rows.select("license", bigrams("words").alias("bigrams")).withColumn("size", F.size("bigrams"))
+    rows = spark.createDataFrame(list(TEMPLATES.items()), "license string, text string").select("license", bigrams(words(F.col("text"))).alias("bigrams"))
+    rows = rows.select("license", "bigrams").withColumn("size", F.size("bigrams"))
     return rows.withColumn("gap", F.greatest(F.lit(3), F.floor(F.col("size") / 5)).cast("int"))
 
 
@@ -74,9 +104,10 @@ def notices(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     known = templates(spark)
     wanted = known.select("license", F.explode("bigrams").alias("bigram")).groupBy("license", "bigram").agg(F.count("*").alias("times"))
     wanted = wanted.join(known.select("license", "size", "gap"), "license")
-    texts = documents.select("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("node"), words(F.col("text")).alias("words"))
-    # The outer form: for the inner one Spark tests the array's size first, in a filter that computes the words anew for each bigram.
-    pairs = texts.withColumn("bigrams", bigrams("words")).select("doc_id", "node", F.posexplode_outer("bigrams").alias("at", "bigram"))
+    texts = documents.select("doc_id", F.substring(F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)), 1, 16).alias("node"), bigrams(words(F.col("text"))).alias("bigrams"))
+    # The outer form: for the inner one Spark tests the array's size first, in a filter that computes it once more.
+    telling = F.arrays_overlap("bigrams", F.array(*[F.lit(b) for b in distinctive(threshold)]))
+    pairs = texts.filter(telling).select("doc_id", "node", F.posexplode_outer("bigrams").alias("at", "bigram"))
     hits = pairs.join(F.broadcast(wanted), "bigram").distinct()
 
     place = Window.partitionBy("doc_id", "node", "license").orderBy("at")
@@ -91,13 +122,10 @@ def notices(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     earlier, later = (F.collect_list("at").over(same.rowsBetween(*rows)) for rows in ((-MOST, -1), (1, MOST)))
     hits = hits.withColumn("earlier", earlier).withColumn("later", later)
     hits = hits.withColumn("before", F.get("earlier", (F.size("earlier") - F.col("times")).cast("int"))).withColumn("after", F.get("later", (F.col("times") - 1).cast("int"))).drop("earlier", "later")
-    hits = hits.withColumn("common", F.count(F.when(F.col("before").isNull(), 1)).over(whole)).withColumn("first", F.min("at").over(whole)).withColumn("last", F.max("at").over(whole))
-    hits = hits.withColumn("length", F.col("last") - F.col("first") + 1).withColumn("dice", 2 * F.col("common") / (F.col("length") + F.col("size")))
-    stretches = hits.filter((F.col("dice") >= threshold) & (F.col("at") == F.col("first"))).select("doc_id", "node", "license", "dice", "length", "first", "last")
 
     along = whole.orderBy("at")
     ahead = F.collect_list(F.struct("at", "before")).over(along.rangeBetween(0, int(LONGEST * (2 - threshold) / threshold) + 1))
-    cut = hits.filter(F.col("dice") < threshold).withColumn("ahead", ahead).withColumn("joined", F.lag("at").over(along) == F.col("at") - 1).withColumn("lost", F.lag("after").over(along))
+    cut = hits.withColumn("ahead", ahead).withColumn("joined", F.lag("at").over(along) == F.col("at") - 1).withColumn("lost", F.lag("after").over(along))
     cut = cut.withColumn("ahead", F.filter("ahead", lambda h: h["before"].isNull() | (h["before"] < F.col("at"))))
 
     def window(h: Column, i: Column) -> Column:
@@ -107,7 +135,7 @@ def notices(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         return F.struct((2 * (i + 1) / (length + F.col("size"))).alias("dice"), length.alias("length"), F.col("at").alias("first"), h["at"].alias("last"), (follows | leads).alias("grows"))
 
     cut = cut.withColumn("windows", F.filter(F.transform("ahead", window), lambda w: (w["dice"] >= threshold) & ~w["grows"])).select("doc_id", "node", "license", F.explode("windows").alias("window"))
-    found = stretches.unionByName(cut.select("doc_id", "node", "license", "window.dice", "window.length", "window.first", "window.last"))
+    found = cut.select("doc_id", "node", "license", "window.dice", "window.length", "window.first", "window.last")
 
     ranked = F.sort_array(F.collect_list(F.struct((-F.col("dice")).alias("less"), (-F.col("length")).alias("shorter"), "license", "first", "last", "dice")))
     found = found.groupBy("doc_id", "node").agg(ranked.alias("ranked"))

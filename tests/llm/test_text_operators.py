@@ -73,6 +73,50 @@ def test_repeated_notices_and_notices_in_prose(spark):
     assert {g[:4] for g in got} == want and len(got) == len(want) and all(g[4] >= 0.98 for g in got)
 
 
+def dice_of(words, template):
+    a, b = (Counter(zip(w, w[1:])) for w in (words, template))
+    return 2 * sum((a & b).values()) / max(1, sum(a.values()) + sum(b.values()))
+
+
+def test_no_notice_is_lost(spark):
+    """By brute force over all windows: each that reaches the threshold meets a notice told, and each
+    told has the coefficient of its words."""
+    words = lambda t: re.findall("[a-z0-9]+", t.lower())
+    line = licenses.TEMPLATES
+    texts = {
+        1: "Released under the MIT License. Released under the MIT License.",
+        2: "Licensed under CC BY 4.0.\nLicensed under CC BY-SA 4.0.\nLicensed under CC BY-NC 4.0.",
+        3: f"{line['GPL-2.0-line']}\n{line['GPL-3.0-line']}",
+        4: f"{line['MIT-line']} {line['Apache-2.0-line']} {line['BSL-1.0']}",
+        5: f"{line['BSD-3-Clause']} {line['BSD-2-Clause']}",
+    }
+    dice, names = random.Random(14), [k for k, t in line.items() if len(words(t)) < 60]
+    for i in range(6, 26):
+        parts = []
+        for _ in range(dice.randint(1, 4)):
+            w = words(line[dice.choice(names)])
+            for _ in range(dice.randint(0, max(1, len(w) // 12))):
+                w[dice.randrange(len(w))] = dice.choice(["license", "the", "odd", "of"])
+            parts += w + ["some", "prose", "under", "the"][: dice.randint(0, 4)]
+        texts[i] = " ".join(parts)
+    told = {}
+    for r in licenses.notices(odd(spark, list(texts.items()))).collect():
+        w = words(texts[r["doc_id"]])[r["start_word"] : r["end_word"]]
+        assert r["dice"] == pytest.approx(dice_of(w, words(line[r["license"]]))) and r["dice"] >= 0.8
+        told.setdefault(r["doc_id"], []).append((r["start_word"], r["end_word"], r["license"]))
+    for i, text in texts.items():
+        w, spans = words(text), sorted(told.get(i, []))
+        assert all(a[1] - 1 <= b[0] for a, b in zip(spans, spans[1:]))  # they share no bigram
+        for name, template in line.items():
+            t = words(template)
+            for a in range(len(w)):
+                for z in range(a + max(2, int(0.6 * len(t))), min(len(w), a + int(1.6 * len(t)) + 2) + 1):
+                    if not any(a < end - 1 and start < z - 1 for start, end, _ in spans):
+                        assert dice_of(w[a:z], t) < 0.8, (i, name, a, z)
+    kinds = {i: [n for _, _, n in sorted(told[i])] for i in range(1, 6)}
+    assert kinds == {1: ["MIT-line", "MIT-line"], 2: ["CC-BY-4.0-line", "CC-BY-SA-4.0-line", "CC-BY-NC-4.0-line"], 3: ["GPL-2.0-line", "GPL-3.0-line"], 4: ["MIT-line", "Apache-2.0-line", "BSL-1.0"], 5: ["BSD-3-Clause", "BSD-2-Clause"]}
+
+
 # Near duplicates
 
 

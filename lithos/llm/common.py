@@ -38,13 +38,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as spark.checkpoint.dir names it.
 
-    Only where the session has none (local tests) a temporary folder is made."""
-    there = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("lithos.shared.dir", None)
+    A local session that has none (in tests) gets a temporary folder; on a cluster its lack is an error,
+    as what a task wrote to a folder of its own machine would be lost with it."""
+    context = spark.sparkContext
+    there = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("lithos.shared.dir", None)
     if not there:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         there = tempfile.mkdtemp(prefix="lithos-shared-")
         spark.conf.set("lithos.shared.dir", there)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(there)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(there)
     return there
 
 

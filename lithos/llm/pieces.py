@@ -15,7 +15,9 @@ that no merge reaches out of; parts repeat and a bounded cache keeps their ids.
 merge at one shared score, left first, after everything else; that order isn't a rank per merge,
 so runs take the plain merge loop (kept by length).
 
-A null text is an empty one, which has no ids. Repeated rows give repeated results.
+A null text is an empty one, which has no ids; very long ones are encoded whole. Repeated rows give
+repeated results, an empty table an empty one. Only doc_id and text are read, whatever other columns
+are named.
 """
 
 from __future__ import annotations

@@ -5,12 +5,15 @@ capacity that holds them, found through a balanced tree. Groups of a size are in
 only a histogram of sizes reaches the driver: sizes share a class when their leading 12 bits agree,
 which bounds it at 4,096 classes and 2,048 more for each doubling (46,000 up to 4 GB), whatever
 the input. What the packer returns are ranges of ranks within a class; groups are ranked and
-matched to the ranges by Spark.
+matched to the ranges by Spark. Sizes of up to 4,095 bytes are exact; a larger group counts as its
+class's mean, from which it differs by less than one part in 2,048, so a shard may exceed the capacity
+by that part of the bytes of its larger groups, and by much less where many of them even out.
 
 A group of more bytes than a shard's share can't stay whole if shards are to be equal: it is cut
 at row boundaries into pieces of a share (fewer groups than shards are that large). Null and empty
-texts have no bytes and form one group. Rows may repeat a doc_id; each is a row of its own, and
-such rows may swap slots. Empty input gives an empty result. Other columns are ignored.
+texts have no bytes and form one group, very long ones are groups like others. Rows may repeat a
+doc_id; each is a row of its own, and such rows may swap slots. Groups that tie in size are
+interchangeable. Empty input gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -127,7 +130,7 @@ def shard_documents(documents: DataFrame, shards: int = 40) -> DataFrame:
     spark = documents.sparkSession
     text = F.coalesce("text", F.lit(""))
     rows = checkpointed(
-        documents.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"), F.unhex(F.md5(text)).alias("group"))
+        documents.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"), F.substring(F.unhex(F.sha2(text, 256)), 1, 16).alias("group"))
     )
     total = rows.agg(F.sum("size")).first()[0] or 0
     share = total / shards

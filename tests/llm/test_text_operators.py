@@ -37,6 +37,16 @@ LONG = "alpha beta gamma delta " * 30_000
 EDGES = [(1, None), (2, ""), (3, " \n\t"), (4, "x"), (5, LONG), (6, "same words here again and again"), (7, "same words here again and again"), (7, "same words here again and again"), (None, "lone text")]
 
 
+def test_a_cluster_without_a_shared_folder_is_an_error(monkeypatch):
+    from types import SimpleNamespace as Fake
+
+    from lithos.llm import common
+
+    context = Fake(getConf=lambda: {}, master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(Fake(sparkContext=context, conf={}))
+
+
 # Licences
 
 
@@ -421,6 +431,17 @@ def test_shards_are_equal_and_keep_groups(spark):
     assert sharding.shard_documents(odd(spark, rows).limit(0), 40).count() == 0
 
 
+def test_rounded_sizes_stay_near_equal(spark):
+    """Groups of more than 4 KiB, whose sizes are rounded to classes."""
+    dice = random.Random(31)
+    rows = [(i, f"{i} " + "w" * dice.randint(4_000, 60_000)) for i in range(800)]
+    sizes = Counter()
+    for r in sharding.shard_documents(odd(spark, rows), 40).collect():
+        sizes[r["shard"]] += r["size"]
+    share = sum(sizes.values()) / 40
+    assert len(sizes) == 40 and max(sizes.values()) <= share * (1 + 1 / 2048) + max(len(t) for _, t in rows) * 0.02
+
+
 def test_pack_is_best_fit_decreasing():
     dice = random.Random(4)
     for _ in range(30):
@@ -464,6 +485,7 @@ def test_pieces_on_made_up_texts():
 def test_piece_edges(spark):
     rows = pieces.encode_documents(odd(spark, EDGES), piece_model(), digests=True).collect()
     assert len(rows) == len(EDGES)
+    assert pieces.encode_documents(odd(spark, EDGES).limit(0), piece_model()).count() == 0
     empty = hashlib.sha256(b"").hexdigest()
     assert [(r["n_tokens"], r["ids"], r["decoded"]) for r in rows if r["doc_id"] in (1, 2)] == [(0, empty, empty)] * 2
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithos.operators import tree
+from lithos.operators import content, tree
 from lithos.operators.content import ID
 from lithos.plans.commit import Transaction
 
@@ -75,3 +75,45 @@ def delete_paths(tx: Transaction, paths: DataFrame, root: str = "/") -> None:
     """Deletes what absolute paths (path) lead to."""
     edges = tx.view("edges")
     tx.remove("edges", edges.join(tree.deleted_paths(edges, paths, root), ["parent", "name"], "left_anti"))
+
+
+def _free(tx: Transaction, new: DataFrame) -> DataFrame:
+    """The edges (parent, name, child), or an error if one of their names is taken."""
+    edges = tx.view("edges")
+    if edges is not None and not edges.join(new, ["parent", "name"], "left_semi").isEmpty():
+        raise ValueError("the name is taken")
+    return new
+
+
+def create_file(tx: Transaction, new: DataFrame, blocks: DataFrame) -> None:
+    """Files (parent, name, child) with the blocks of their forks (node, fork, block_index, content), at once."""
+    tx.append("edges", _free(tx, new))
+    tx.append("forks", blocks.select("node", "fork").distinct())
+    tx.append("blocks", blocks)
+
+
+def copy_file(tx: Transaction, source: int, target: int, edge: DataFrame) -> None:
+    """A file with all forks of another one, at a free name (parent, name, child); its blocks are shared
+    where they refer to segments."""
+    tx.append("edges", _free(tx, edge))
+    for name in ("forks", "blocks"):
+        tx.append(name, content.copy_file(tx.view(name), source, target))
+
+
+def replace_fork(tx: Transaction, node: int, fork: str, blocks: DataFrame) -> None:
+    """A fork created, or replaced by new blocks (node, fork, block_index, content)."""
+    here = (F.col("node") == node) & (F.col("fork") == fork)
+    for name in ("forks", "blocks"):
+        if tx.view(name) is not None:
+            tx.remove(name, tx.view(name).filter(here))
+    tx.append("forks", tx.dataset.spark.createDataFrame([(node, fork)], "node long, fork string"))
+    tx.append("blocks", blocks)
+
+
+def create_volume(tx: Transaction, collection: str, properties: dict[str, str]) -> None:
+    """A collection whose metadata makes it a volume; `tables.volumes` lists them, `delete_collection` deletes one."""
+    rows = tx.view("collections")
+    if rows is not None and not rows.filter(F.col("collectionid") == collection).isEmpty():
+        raise ValueError("the collection exists")
+    schema = "collectionid string, metadata map<string,string>"
+    tx.append("collections", tx.dataset.spark.createDataFrame([(collection, {"volume": "", **properties})], schema))

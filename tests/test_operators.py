@@ -346,3 +346,67 @@ def test_transactions_are_applied_once(spark, tmp_path):
     assert {(r["collectionid"], r["segment"]) for r in target.table("cas").collect()} == {("a", 2), ("b", 1)}
     assert target.table("collections").filter("collectionid = 'a'").first()["metadata"] == {"volume": "B"}
     assert sorted((r["collectionid"], r["eventid"]) for r in target.table("replicated_events").collect()) == [("a", 0), ("a", 1), ("a", 2), ("a", 3), ("a", 4), ("a", 5), ("a", 6), ("b", 0), ("b", 1)]
+
+
+def test_files_and_volumes(spark, tmp_path):
+    data = Dataset(spark, str(tmp_path / "d"), edits.KEYS)
+    edge = lambda name, child: spark.createDataFrame([("/", name, child)], "parent string, name string, child string")
+    two = fork(spark, {1: b"0123456789"}).unionByName(fork(spark, {1: b"abc"}).withColumn("fork", F.lit("resource")))
+    tx = data.begin(1)
+    edits.create_volume(tx, "v", {"name": "first"})
+    edits.create_file(tx, edge("a", "1"), two)
+    tx.commit()
+    tx = data.begin(2)
+    with pytest.raises(ValueError, match="taken"):
+        edits.create_file(tx, edge("a", "2"), two)
+    with pytest.raises(ValueError, match="exists"):
+        edits.create_volume(tx, "v", {})
+    edits.copy_file(tx, 1, 2, edge("b", "2"))
+    edits.replace_fork(tx, 1, "resource", fork(spark, {1: b"xy"}).withColumn("fork", F.lit("resource")))
+    edits.set_metadata(tx, "v", "name", "second")
+    tx.commit(snapshot="s")
+    blocks = data.table("blocks")
+    of = lambda name: whole(blocks.filter(F.col("fork") == name))
+    assert of("data") == {1: b"0123456789", 2: b"0123456789"} and of("resource") == {1: b"xy", 2: b"abc"}
+    assert {tuple(r) for r in data.table("forks").collect()} == {(n, f) for n in (1, 2) for f in ("data", "resource")}
+    assert [r["metadata"] for r in tables.volumes(data.table("collections")).collect()] == [{"volume": "", "name": "second"}]
+    assert [r["metadata"]["name"] for r in data.table("collections", upto=1).collect()] == ["first"]
+
+
+def test_replicated_versions_keep_their_stamps(spark, tmp_path):
+    data = Dataset(spark, str(tmp_path / "d"))
+    tx = data.begin(9, version=(70, 5, 2))
+    tx.append("t", spark.createDataFrame([(1,)], "id long"))
+    tx.commit()
+    assert tuple(data.commits().first())[1:] == (70, 5, 2, None)
+    after = data.begin(5)
+    assert (after.versionid, after.time, after.uniquifier) == (71, 5, 3)
+
+
+def test_listeners_hear_each_batch(spark, tmp_path):
+    schema = "eventid long, collectionid long, eventtype string"
+    log = spark.range(10).select(F.col("id").alias("eventid"), F.lit(1).cast("long").alias("collectionid"), F.lit("T").alias("eventtype"))
+    log.coalesce(1).write.parquet(str(tmp_path / "s"))
+    heard = []
+    replicate.replicate_stream(spark, str(tmp_path / "s"), schema, str(tmp_path / "t"), str(tmp_path / "c"), on_batch=lambda batch, i: heard.append((i, batch.count()))).awaitTermination()
+    assert heard == [(0, 10)]
+
+
+def test_catalogs_over_jdbc(spark, tmp_path):
+    """The embedded database that comes with Spark."""
+    url = f"jdbc:derby:{tmp_path}/catalog;create=true"
+    spark.range(100).select(F.col("id").alias("versionid"), (F.col("id") * 2).alias("versiontime")).write.format("jdbc").options(url=url, dbtable="versions", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver").save()
+    read = tables.jdbc_table(spark, url, "versions", key="versionid", bounds=(0, 100), parts=4, driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    assert read.rdd.getNumPartitions() == 4 and read.filter("versionid >= 90").agg(F.sum("versiontime")).first()[0] == 2 * sum(range(90, 100))
+
+
+def test_schemas_and_the_clock(spark):
+    from lithos import schemas
+
+    for name, ddl in vars(schemas).items():
+        if name.isupper():
+            assert spark.createDataFrame([], ddl).count() == 0
+    assert abs(spark.range(1).select(scalars.now_millis()).first()[0] / 1000 - __import__("time").time()) < 60
+    guarded = spark.createDataFrame([("volume",)], "k string").select(scalars.unreserved(F.col("k"), ["volume"]))
+    with pytest.raises(Exception, match="reserved metadata key"):
+        guarded.collect()

@@ -12,9 +12,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 
+#: Texts that go to a Python worker at a time, where the session says nothing else.
+BATCH = 500
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python workers, once for a Spark context."""
+    """Sends this package to the executors' Python workers, once for a Spark context, and keeps the
+    batches of texts small: a worker and the JVM beside it each hold a batch or two."""
     context = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # Spark's own default
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     if getattr(context, "_lithos_shipped", False):
         return
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

@@ -71,7 +71,7 @@ class Shingler:
         if not words:
             return np.zeros(0, np.uint64)
         known = self.known
-        if len(known) > 150_000:
+        if len(known) > 80_000:
             known.clear()
         try:
             codes = [known[w] for w in words]

@@ -179,7 +179,7 @@ class Reader:
         known = self.words.get(word)
         if known is None:
             known = "L" if any(word[:n] in self.stems for n in self.lengths) else "x"
-            if len(self.words) < 200_000:
+            if len(self.words) < 60_000:
                 self.words[word] = known
         return known
 

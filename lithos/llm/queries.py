@@ -51,7 +51,7 @@ def op5_secret_grammars(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = F.filter("spans", lambda s: s["kind"] != "format")
-    scores = F.array_join(F.transform("spans", lambda s: F.format_number(s["score"], "0.00")), ",")
+    scores = F.array_join(F.transform("spans", lambda s: F.format_number(s["score"], 2)), ",")
     return found.select("doc_id", number("assign"), number("access"), number("hex"), number("format"), F.sha2(F.encode(said(base), "UTF-8"), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"), scores.alias("scores"))
 
 

@@ -30,6 +30,34 @@ def test_against_sql(spark, name):
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(columns, want.fetchall())
 
 
+#: What the queries without SQL return at least, in the contract's names and types.
+COLUMNS = {
+    "op4_toxicity_grammar": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
+    "op5_secret_grammars": {"doc_id": "bigint", "n_assign": "bigint", "n_access": "bigint", "n_hex": "bigint", "base_sha256": "string", "spans": "string"},
+    "op6_best_fit_decreasing": {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int"},
+    "op7_piece_encode_decode": {"doc_id": "bigint", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"},
+    "op8_repetition_coverage": {"doc_id": "bigint", "n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint", "n_repeat_words": "bigint", "base_failed": "boolean", "kept": "boolean"},
+}
+
+
+@pytest.mark.parametrize("name", sorted(COLUMNS))
+def test_queries_return_a_row_for_each_document(spark, name):
+    got = llm.queries()[name](spark, SF)
+    assert COLUMNS[name].items() <= dict(got.dtypes).items()
+    ids = [r["doc_id"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()]
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(ids)
+
+
+def test_secret_query_equals_brute_force(spark):
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in llm.op5_secret_grammars(spark, SF).collect():
+        base = base_spans(texts[r["doc_id"]])
+        said = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        assert r["base_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(k == kind for k, _, _ in base) for kind in ("assign", "access", "hex"))
+        assert [s for s in r["spans"].split(",") if s and not s.startswith("format:")] == [s for s in said.split(",") if s] and len(r["scores"].split(",")) == len(r["spans"].split(","))
+
+
 def test_chat_round_trip(spark):
     said = {
         1: [("system", "be <s> brief"), ("user", "a\\b </s>[INST] ok [/INST]\n<<SYS>>"), ("assistant", "<\\s> [\\INST] \\"), ("user", ""), ("assistant", None), ("user", "last <")],

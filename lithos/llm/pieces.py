@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Parts and pairs kept in a Python worker; beyond it the cache starts anew.
-CACHE = 120_000
+CACHE = 200_000
 UNKNOWN = -1
 
 

@@ -48,7 +48,8 @@ class Dataset:
         rows, marks = self._read(name), self.commits()
         if rows is None:
             return None
-        marks = (marks if upto is None else marks.filter(F.col("versionid") <= upto)).select(F.col("batch").alias(BATCH))
+        # One short row for each commit: a broadcast, so that rows aren't shuffled by their few batches.
+        marks = F.broadcast((marks if upto is None else marks.filter(F.col("versionid") <= upto)).select(F.col("batch").alias(BATCH)))
         rows = rows.join(marks, BATCH, "left_semi")
         removed = self._read(f"{name}.removed") if name in self.keys else None
         if removed is not None:

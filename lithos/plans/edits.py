@@ -23,18 +23,22 @@ KEYS = {
 }
 
 
-def store(tx: Transaction, segments: DataFrame) -> None:
+def store(tx: Transaction, segments: DataFrame, contents: DataFrame | None = None) -> None:
     """Stores segments (collectionid, segment, segmentversion, sha1, len, content): references that
-    aren't there yet, and contents that nothing has yet."""
+    aren't there yet, and contents that nothing has yet. With `contents` (sha1, len, content) the segments
+    need no content of their own. What is new is found by keys and ids; contents are shuffled once, one
+    row for each id."""
     cas, data = tx.view("cas"), tx.view("data")
-    new = segments.dropDuplicates(KEYS["cas"])
+    one = segments.groupBy(*KEYS["cas"]).agg(F.min(F.struct(*ID)).alias("_id"))  # both tables see the same one
+    new = one.select(*KEYS["cas"], *[F.col(f"_id.{k}").alias(k) for k in ID])
     if cas is not None:
         new = new.join(cas.select(*KEYS["cas"]), KEYS["cas"], "left_anti")
-    contents = new.select(*ID, "content").dropDuplicates(ID)
+    ids = new.select(*ID).distinct()
     if data is not None:
-        contents = contents.join(data.select(*ID), ID, "left_anti")
-    tx.append("cas", new.select(*KEYS["cas"], *ID))
-    tx.append("data", contents)
+        ids = ids.join(data.select(*ID), ID, "left_anti")
+    held = (segments if contents is None else contents).select(*ID, "content").dropDuplicates(ID)
+    tx.append("cas", new)
+    tx.append("data", held.join(ids, ID, "left_semi"))
 
 
 def release(tx: Transaction, segments: DataFrame) -> None:

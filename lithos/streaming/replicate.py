@@ -34,11 +34,16 @@ def applied(events: DataFrame, apply_releases: bool = False) -> DataFrame:
     return events.filter(F.col("eventtype").isin(kinds))
 
 
-def created_segments(events: DataFrame, cas: DataFrame, data: DataFrame) -> DataFrame:
-    """The segments that events (collectionid, segment, segmentversion) of kind C made, each read at
-    exactly the event's version: collectionid, segment, segmentversion, sha1, len, content."""
+def created_references(events: DataFrame, cas: DataFrame) -> DataFrame:
+    """The references that events (collectionid, segment, segmentversion) of kind C made, each at
+    exactly the event's version: collectionid, segment, segmentversion, sha1, len."""
     made = events.filter(F.col("eventtype") == "C").select("collectionid", "segment", "segmentversion").distinct()
-    return made.join(cas, edits.KEYS["cas"]).join(data, edits.ID).select(*edits.KEYS["cas"], *edits.ID, "content")
+    return made.join(cas, edits.KEYS["cas"]).select(*edits.KEYS["cas"], *edits.ID)
+
+
+def created_segments(events: DataFrame, cas: DataFrame, data: DataFrame) -> DataFrame:
+    """The created references with their contents: collectionid, segment, segmentversion, sha1, len, content."""
+    return created_references(events, cas).join(data, edits.ID).select(*edits.KEYS["cas"], *edits.ID, "content")
 
 
 def apply_transactions(source: Dataset, target: Dataset, servernum: int, now_millis: int, apply_releases: bool = False) -> int | None:
@@ -58,7 +63,8 @@ def apply_transactions(source: Dataset, target: Dataset, servernum: int, now_mil
     if done is not None:
         log = after_cursor(log, done.filter(F.col("servernum") == servernum))
     log = applied(log, apply_releases)
-    if log.isEmpty():
+    kinds = {r["eventtype"] for r in log.select("eventtype").distinct().collect()}  # four at most
+    if not kinds:
         return None
     tx = target.begin(now_millis)
     collections, there = source.table("collections"), target.table("collections")
@@ -69,8 +75,11 @@ def apply_transactions(source: Dataset, target: Dataset, servernum: int, now_mil
         copied = log.filter(F.col("eventtype") == "M").select("collectionid").distinct()
         tx.append("collections", changed.join(there.select("collectionid"), "collectionid", "left_anti"))
         tx.replace("collections", changed.join(copied, "collectionid", "left_semi").join(there.select("collectionid"), "collectionid", "left_semi"))
-    edits.store(tx, created_segments(log, source.table("cas"), source.table("data")))
-    if apply_releases:
+    if "C" in kinds or there is None:
+        data = source.table("data")
+        made = created_references(log, source.table("cas")).join(data.select(*edits.ID), edits.ID, "left_semi")
+        edits.store(tx, made, data)
+    if "R" in kinds:
         released = log.filter(F.col("eventtype") == "R").select(*edits.KEYS["cas"])
         if target.table("cas") is not None:
             edits.release(tx, released)

@@ -348,6 +348,64 @@ def test_transactions_are_applied_once(spark, tmp_path):
     assert sorted((r["collectionid"], r["eventid"]) for r in target.table("replicated_events").collect()) == [("a", 0), ("a", 1), ("a", 2), ("a", 3), ("a", 4), ("a", 5), ("a", 6), ("b", 0), ("b", 1)]
 
 
+def shuffled(spark):
+    """Bytes that the session's stages have shuffled so far."""
+    context = spark.sparkContext
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), context._jvm.java.util.ArrayList())
+    return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (stages.apply(i) for i in range(stages.size()))}
+
+
+def test_contents_are_shuffled_once(spark, tmp_path):
+    """40 contents of 100,000 random digits in 80 segments: one way through a shuffle for the store, one
+    for the replication, none where only metadata changes, also where nothing is small enough to broadcast."""
+    import random
+
+    digits = random.Random(7)
+    texts = ["".join(digits.choices("0123456789abcdef", k=100_000)) for _ in range(40)]
+    rows = spark.createDataFrame([("ab"[i % 2], i, 1, texts[i // 2]) for i in range(80)], "collectionid string, segment long, segmentversion int, content string").repartition(2, "segment")
+    rows = rows.withColumns({"sha1": F.sha1("content"), "len": F.octet_length("content").cast("long")}).localCheckpoint()
+    source, target = (Dataset(spark, str(tmp_path / name), edits.KEYS) for name in "st")
+    schema = "collectionid string, eventid long, transactionid long, eventtype string, segment long, segmentversion int"
+    unit = 40 * 100_000
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled(spark)
+        step = lambda: sum(n for k, n in shuffled(spark).items() if k not in before)
+        tx = source.begin(1)
+        tx.append("collections", spark.createDataFrame([("a", {"volume": "A"}), ("b", {"volume": "B"})], "collectionid string, metadata map<string,string>"))
+        edits.store(tx, rows)
+        tx.append("events", rows.select("collectionid", F.col("segment").alias("eventid"), F.lit(0).cast("long").alias("transactionid"), F.lit("C").alias("eventtype"), "segment", "segmentversion").unionByName(spark.createDataFrame([(c, 100, 0, "T", None, None) for c in "ab"], schema)))
+        tx.commit()
+        assert step() < 2.2 * unit  # a copy of a content can be in either of two partitions
+        before = shuffled(spark)
+        assert replicate.apply_transactions(source, target, 7, 10) == 1
+        assert step() < 1.3 * unit
+        tx = source.begin(2)
+        edits.set_metadata(tx, "a", "volume", "C")
+        tx.append("events", spark.createDataFrame([("a", 101, 1, "M", None, None), ("a", 102, 1, "T", None, None)], schema))
+        tx.commit()
+        before = shuffled(spark)
+        assert replicate.apply_transactions(source, target, 7, 20) == 2
+        assert step() < 0.3 * unit
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    assert target.table("cas").count() == 80 and target.table("collections").filter("metadata['volume'] = 'C'").count() == 1
+    assert sorted(r["content"] for r in target.table("data").collect()) == sorted(texts)
+
+
+def test_a_reference_and_its_content_are_of_one_row(spark, tmp_path):
+    data = Dataset(spark, str(tmp_path / "d"), edits.KEYS)
+    rows = spark.createDataFrame([("a", 1, 1, f"s{i}", 2, f"v{i}") for i in range(9)], "collectionid string, segment long, segmentversion int, sha1 string, len long, content string").repartition(5)
+    tx = data.begin(1)
+    edits.store(tx, rows)
+    edits.store(tx, rows.filter("sha1 != 's0'").withColumn("segment", F.lit(2).cast("long")).drop("content"), rows)
+    tx.commit()
+    assert [(r["segment"], r["sha1"]) for r in data.table("cas").orderBy("segment").collect()] == [(1, "s0"), (2, "s1")]
+    assert {(r["sha1"], r["content"]) for r in data.table("data").collect()} == {("s0", "v0"), ("s1", "v1")} and data.table("data").count() == 2
+
+
 def test_files_and_volumes(spark, tmp_path):
     data = Dataset(spark, str(tmp_path / "d"), edits.KEYS)
     edge = lambda name, child: spark.createDataFrame([("/", name, child)], "parent string, name string, child string")

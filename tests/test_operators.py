@@ -190,6 +190,16 @@ def test_serial_paths_beyond_nine_digits(spark):
     assert [r["back"] for r in rows] == ids
 
 
+def test_wide_serial_paths_keep_every_digit(spark, tmp_path):
+    """Documents 812 and 8120, whose numbers differ by one digit more, have two files."""
+    from lithos import queries
+
+    spark.createDataFrame([(812,), (8120,), (1_000_000,)], "doc_id long").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = queries.serial_paths_wide(spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [r["path"] for r in rows] == ["100/246/912/677/744.casseg", "001/002/469/126/777/440.casseg", "123/456/789/012/000/000.casseg"]
+    assert [r["serial"] for r in rows] == [i * 123456789012 for i in (812, 8120, 1_000_000)]
+
+
 def test_segment_files_are_written_once(spark, tmp_path):
     rows = spark.createDataFrame([(1, b"one"), (1_234_567_890, b"two")], "dataid long, content binary")
     write = lambda df, **more: {r["dataid"]: r["status"] for r in tables.write_segment_files(df, str(tmp_path), **more).collect()}
